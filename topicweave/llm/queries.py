@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from topicweave.llm.enrichment import distinctive_terms
 from topicweave.llm.frequency import term_frequency
+from topicweave.llm.leakage import leaked_items
+from topicweave.llm.mixture import mix_sources, normal_source, token_counts
+from topicweave.llm.neardup import duplicate_classes, near_duplicates, similar_pairs
 from topicweave.llm.pairs import item_pairs
+from topicweave.llm.toxicity import source_rates, toxicity_scores
 from topicweave.operators.packed import record_terms
+from topicweave.plans.stage import stage
 from topicweave.sources.tables import table
 
 
@@ -38,6 +44,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.filter(big("n") * big("n_records") >= 5 * big("n_a") * big("n_b")).select("term_a", "term_b")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    papers = table(spark, folder, "paper_end").filter(F.trim("abstract") != "")
+    text = F.concat_ws(" ", "article_title", "abstract")
+    members, links = near_duplicates(papers, "paper_id", text, width=3, least=0.5)
+    return similar_pairs(members, links).select(F.col("a").alias("paper_id_a"), F.col("b").alias("paper_id_b"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     authors = record_terms(table(spark, folder, "paper_end"), "paper_id", "author_keywords")
     out = None
@@ -48,8 +61,62 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    papers = table(spark, folder, "paper_end")
+    text = F.concat_ws(" ", "article_title", "abstract")
+    members, links = near_duplicates(papers, "paper_id", text, width=5, least=0.8)
+    return duplicate_classes(members, links)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text", run=12)
+    return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each item that leaked: in how many documents, and the largest part of it in one of them."""
+    leaks = leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text", run=12)
+    return leaks.groupBy("item").agg(F.count("*").alias("documents"), F.max(F.col("shared") / F.col("total")).alias("containment")).withColumnRenamed("item", "item_id")
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sized = token_counts(table(spark, folder, "documents"), "doc_id", "text", "source")
+    sized = stage(sized.select("doc", "tokens", F.array_compact(F.array(normal_source(F.col("source")))).alias("sources")))
+    return mix_sources(sized, table(spark, folder, "mix_target"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1].filter("short").select("recipe", "source")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the selected documents reach, beside the targets."""
+    selection, report = _mixed(spark, folder)
+    reached = selection.groupBy("recipe", "source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
+    full = F.sum("target_tokens").over(Window.partitionBy("recipe"))
+    return report.join(reached, ["recipe", "source"], "left").select(
+        "recipe", "source", "target_tokens", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / full).alias("share"), (F.col("target_tokens") / full).alias("target_share"),
+        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "short",
+    )
+
+
+def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[0]
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    scores = toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+    return scores.filter("flagged").select(F.col("doc").alias("doc_id"))
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return source_rates(toxicity_scores(documents, table(spark, folder, "doc_labels")), documents)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
+    own = (p1_found, p2_found, p4_found, p4_classes, p5_found, p7_found, p7_items, p8_found, p8_shares, p8_selection, p9_found, p9_rates)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
