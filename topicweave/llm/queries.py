@@ -12,6 +12,7 @@ from topicweave.llm.enrichment import distinctive_terms
 from topicweave.llm.frequency import term_frequency
 from topicweave.llm.leakage import leaked_items
 from topicweave.llm.mixture import mix_sources, normal_source, token_counts
+from topicweave.llm.names import link_names, variant_pairs
 from topicweave.llm.neardup import duplicate_classes, near_duplicates, similar_pairs
 from topicweave.llm.pairs import item_pairs
 from topicweave.llm.toxicity import source_rates, toxicity_scores
@@ -68,6 +69,15 @@ def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
     return duplicate_classes(members, links)
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variant_pairs(link_names(table(spark, folder, "paper_end")))
+
+
+def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Each spelling with its entity."""
+    return link_names(table(spark, folder, "paper_end"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     leaks = leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text", run=12)
     return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
@@ -115,7 +125,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p2_found, p4_found, p4_classes, p5_found, p7_found, p7_items, p8_found, p8_shares, p8_selection, p9_found, p9_rates)
+    own = (p1_found, p2_found, p4_found, p4_classes, p5_found, p6_found, p6_entities, p7_found, p7_items, p8_found, p8_shares, p8_selection, p9_found, p9_rates)
     return {f.__name__: f for f in own}
 
 
