@@ -111,30 +111,25 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return all_nodes.distinct().join(roots, ["graph_id", "node"], "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def k_core(edges: DataFrame) -> DataFrame:
-    """``(graph_id, node, core)``: the largest k for which the node is in the k-core.  Loops don't count."""
-    left = stage(edges.filter("src < dst").select("graph_id", "src", "dst").distinct())
-    done, k = None, 1
-    while True:
-        ends = left.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).groupBy("graph_id", "node").agg(F.count("*").alias("d"))
-        weak = stage(ends.filter(F.col("d") <= k).select("graph_id", "node"))
-        if weak.isEmpty():
-            if left.isEmpty():
-                break
-            k += 1
-            continue
-        part = weak.withColumn("core", F.lit(k))
-        done = part if done is None else done.unionByName(part)
-        kept = left
-        for end in ("src", "dst"):
-            kept = kept.join(weak.withColumnRenamed("node", end), ["graph_id", end], "left_anti")
-        # a node whose last edges go in this round ends with it
-        gone = left.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
-        still = kept.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
-        alone = gone.join(still, ["graph_id", "node"], "left_anti").join(weak, ["graph_id", "node"], "left_anti")
-        done = stage(done.unionByName(alone.withColumn("core", F.lit(k))))
-        left = stage(kept.select("graph_id", "src", "dst"))
-    return done if done is not None else edges.select("graph_id", F.col("src").alias("node"), F.lit(0).alias("core")).limit(0)
+def k_core(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """``(graph_id, node, core)``: the largest k for which the node is in the k-core.  Loops don't count.
+
+    Starts from the degrees; in each round a node takes the largest h such that h of its
+    neighbours have h or more.  The values only fall, and where they stop are the core numbers.
+    """
+    near = stage(symmetric(edges.filter("src <> dst")).select("graph_id", "node", "other").distinct())
+    core = stage(near.groupBy("graph_id", "node").agg(F.count("*").cast("int").alias("core")))
+    for _ in range(most_rounds):
+        seen = near.join(core.select("graph_id", F.col("node").alias("other"), F.col("core").alias("c")), ["graph_id", "other"])
+        # counts by value first: a hub's list is as long as its number of different values
+        counts = seen.groupBy("graph_id", "node", "c").agg(F.count("*").alias("n"))
+        above = F.sum("n").over(Window.partitionBy("graph_id", "node").orderBy(F.desc("c")))
+        h = counts.withColumn("h", F.least("c", above)).groupBy("graph_id", "node").agg(F.max("h").cast("int").alias("h"))
+        new = stage(core.join(h, ["graph_id", "node"]).select("graph_id", "node", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("moved")))
+        core = new.select("graph_id", "node", "core")
+        if new.filter("moved").isEmpty():
+            break
+    return core
 
 
 def neighbour_jaccard(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -86,14 +86,14 @@ def best_word_links(links: DataFrame, members: DataFrame, similarity: DataFrame)
 def evolution_nodes(members: DataFrame, links: DataFrame, lists: DataFrame) -> DataFrame:
     """``(id, label, group, score)`` of communities and mixes; ``score`` is the number of words, a mix counts its communities."""
     comms = members.groupBy("period", "comm").agg(F.count_distinct("word").alias("score"))
-    comms = comms.select(F.format_string("comm%d-%d", "period", "comm").alias("id"), F.col("period").cast("double").alias("group"), "score")
+    comms = comms.select(F.format_string("comm%d-%d", "comm", "period").alias("id"), F.col("period").cast("double").alias("group"), "score")
     mix = lists.select(F.format_string("mix%d-%.1f", "mix", F.col("mix_period") + F.lit(0.5)).alias("id"), (F.col("mix_period") + 0.5).alias("group"), (F.size("old") + F.size("new")).cast("bigint").alias("score"))
     return comms.unionByName(mix).select("id", F.col("id").alias("label"), "group", "score")
 
 
 def evolution_edges(links: DataFrame) -> DataFrame:
     """``(src, dst, weight)``: communities to their mix, weighted by shared words."""
-    comm, mix = F.format_string("comm%d-%d", "period", "comm"), F.format_string("mix%d-%.1f", "mix", F.col("mix_period") + F.lit(0.5))
+    comm, mix = F.format_string("comm%d-%d", "comm", "period"), F.format_string("mix%d-%.1f", "mix", F.col("mix_period") + F.lit(0.5))
     old = F.col("side") == "old"
     return links.select(F.when(old, comm).otherwise(mix).alias("src"), F.when(old, mix).otherwise(comm).alias("dst"), F.col("overlap").cast("bigint").alias("weight"))
 

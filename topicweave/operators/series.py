@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,29 +99,41 @@ def chord_distances(series: DataFrame, by: list[str] | None = None) -> DataFrame
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy(F.desc_nulls_last(F.round("distance", 9)), "pos")))
 
 
-def segment_breaks(series: DataFrame, limit: int = 3, least: float = 10.0) -> DataFrame:
-    """``(pos)``: break points of a series by recursive splitting at the point furthest from the chord.
+def _breaks(n: np.ndarray, limit: int, least: float) -> list[int]:
+    out, waiting = [], [(0, len(n) - 1)]
+    while waiting:
+        a, b = waiting.pop()
+        size = b - a + 1
+        if size <= 4:
+            continue
+        at = np.arange(size)
+        slope = (n[b] - n[a]) / (size - 1)
+        far = np.abs(n[a : b + 1] - slope * at - n[a]) / np.sqrt(1 + slope * slope)
+        for i in np.lexsort((at, -np.round(far, 9)))[:5].tolist():
+            if far[i] > least and i + 1 > limit and size - i > limit:
+                out.append(a + i)
+                waiting += [(a, a + i), (a + i, b)]
+                break
+    return sorted(set(out))
+
+
+def segment_breaks(series: DataFrame, limit: int = 3, least: float = 10.0, by: list[str] | None = None) -> DataFrame:
+    """``(*by, pos)``: break points of each series by recursive splitting at the point furthest from the chord.
 
     A segment of more than four points splits at the first of its five furthest
     points that lies more than ``least`` away and more than ``limit`` points from
-    both ends.  All segments of a level are split in one pass.
+    both ends.  A series has a row per month, so one group is small; many series run side by side.
     """
-    spark = series.sparkSession
-    parts = stage(series.select("pos", "n", F.lit(0).alias("segment")))
-    breaks = None
-    while True:
-        ranked = chord_distances(parts, ["segment"]).withColumn("local", F.col("pos") - F.col("start"))
-        good = (F.col("size") > 4) & (F.col("rank") <= 5) & (F.col("distance") > least) & (F.col("local") + 1 > limit) & (F.col("size") - F.col("local") > limit)
-        cut = stage(ranked.filter(good).groupBy("segment").agg(F.min_by("pos", "rank").alias("cut")))
-        if cut.isEmpty():
-            break
-        found = cut.select(F.col("cut").alias("pos"))
-        breaks = found if breaks is None else breaks.unionByName(found)
-        split = parts.join(F.broadcast(cut), "segment")  # one row per segment of a monthly series
-        low = split.filter("pos <= cut").select("pos", "n", (F.col("segment") * 2 + 1).alias("segment"))
-        high = split.filter("pos >= cut").select("pos", "n", (F.col("segment") * 2 + 2).alias("segment"))
-        parts = stage(low.unionByName(high))
-    return breaks.distinct() if breaks is not None else spark.createDataFrame([], "pos int")
+    by = by or []
+    kinds = dict(series.dtypes)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        found = pdf["pos"].to_numpy()[_breaks(pdf["n"].to_numpy(float), limit, least)]
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(found) for c in by}, "pos": found})
+
+    rows = series.select(*by, "pos", "n", F.lit(0).alias("_one"))
+    return rows.groupBy(*(by or ["_one"])).applyInPandas(one, ", ".join([*(f"{c} {kinds[c]}" for c in by), "pos int"]))
 
 
 def time_line(series: DataFrame, limit: int = 3, least: float = 10.0, head: int = 12, tail: int = 6) -> DataFrame:

@@ -653,7 +653,7 @@ def windowed_events(spark, folder):
 @query()
 def streamed_events(spark, folder):
     """The same counts from a stream of the table's files; the windows that the watermark has closed."""
-    source = table(spark, folder, "events")
+    source = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     copy, base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
     source.write.parquet(copy)
     stream = spark.readStream.schema(source.schema).parquet(copy)
