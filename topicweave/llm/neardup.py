@@ -257,9 +257,46 @@ def _verify(least: float):
     return run
 
 
-def _sets(width: int):
+def _mark(bits: int):
+    """Bitmap of the identifiers in a partition, in slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(1 << bits, bool)
+        for batch in batches:
+            marks[(mix(batch.column(0).to_numpy().view(U)) >> U(64 - bits)).astype(np.int64)] = True
+        packed = np.packbits(marks)
+        for i in range(0, len(packed), _SLICE):
+            if packed[i : i + _SLICE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // _SLICE], pa.int32()), pa.array([zlib.compress(packed[i : i + _SLICE].tobytes(), 1)], pa.binary())], ["slice", "marks"])
+
+    return run
+
+
+def _join_marks(group: pa.Table) -> pa.Table:
+    total = None
+    for marks in group.column("marks"):
+        part = np.frombuffer(zlib.decompress(marks.as_py()), np.uint8)
+        total = part if total is None else total | part
+    return pa.table({"slice": group.column("slice")[:1], "marks": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def _filter_of(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of fixed size, ``2 ** bits`` bits, with the hash of every identifier set."""
+    packed = np.zeros((1 << bits) // 8, np.uint8)
+    rows = ids.mapInArrow(_mark(bits), "slice int, marks binary").groupBy("slice").applyInArrow(_join_marks, "slice int, marks binary")
+    for r in rows.collect():
+        packed[r[0] * _SLICE : (r[0] + 1) * _SLICE] = np.frombuffer(zlib.decompress(bytes(r[1])), np.uint8)
+    return packed
+
+
+def _sets(width: int, wanted, bits: int):
+    """Token sets of the texts whose identifier may be wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = wanted.value
         for batch in batches:
+            at = (mix(batch.column(0).to_numpy().view(U)) >> U(64 - bits)).astype(np.int64)
+            batch = batch.filter(pa.array((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             for first, n, row, h in _token_sets(batch.column(1), width):
                 starts, sizes = _bounds(row, n)
                 h = np.sort(h.view(np.int64)) if n == 1 else _signed(row, h)
@@ -310,11 +347,11 @@ def near_duplicates(texts: DataFrame, key: str, text: str | Column, width: int =
     pairs = stage(postings.groupBy("part").applyInArrow(_match(least), "pair bigint").distinct())
     del postings
     spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the postings' shuffle files
-    links = _links(rows, classes, pairs, width, least)
+    links = _links(rows, classes, pairs, width, least, bits)
     return members, links
 
 
-def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: float, bits: int) -> DataFrame:
     number = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     mine = ["class", "size", "s0", "s1", "s2", "s3"]
     side = lambda x: classes.select(number("h1").alias(f"n{x}"), *(F.col(c).alias(f"{c}_{x}") for c in mine))
@@ -328,8 +365,9 @@ def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, le
     share = F.ceil(sizes * (least / (1 + least)) - 1e-9)
     met = met.filter((F.least("size_a", "size_b") >= share) & (apart <= sizes - 2 * share))
     met = stage(met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct())
-    wanted = met.select(F.col("a").alias("doc")).union(met.select(F.col("b").alias("doc"))).distinct()
-    sets = stage(rows.join(wanted, "doc", "left_semi").mapInArrow(_sets(width), "doc bigint, tokens array<bigint>"))
+    # only token sets are shuffled, not the texts; what the bitmap lets through in excess falls out of the joins
+    wanted = rows.sparkSession.sparkContext.broadcast(_filter_of(met.select(F.explode(F.array("a", "b")).alias("doc")), bits))
+    sets = stage(rows.mapInArrow(_sets(width, wanted, bits), "doc bigint, tokens array<bigint>"))
     left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
     return met.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(least), "a bigint, b bigint, similarity double")
