@@ -17,6 +17,8 @@ from topicweave.llm.neardup import duplicate_classes, near_duplicates, similar_p
 from topicweave.llm.pairs import item_pairs
 from topicweave.llm.toxicity import source_rates, toxicity_scores
 from topicweave.operators.packed import record_terms
+from topicweave.plans.packed_sql import packed_sql
+from topicweave.plans.queries import TERMS
 from topicweave.plans.stage import stage
 from topicweave.sources.tables import table
 
@@ -129,5 +131,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+RECORDS = f"{TERMS}, k AS (SELECT DISTINCT paper_id, term FROM terms), kd AS (SELECT term, count(*) AS d FROM k GROUP BY term)"
+
+P1 = rf"""WITH {RECORDS}, w AS (SELECT paper_id, unnest(regexp_extract_all(lower(abstract), '[a-z]+')) AS term FROM paper_end),
+ wc AS (SELECT paper_id, term, count(*) AS n FROM w GROUP BY ALL), wd AS (SELECT term, count(*) AS d FROM wc GROUP BY term)
+SELECT 'keyword_plus' AS field, paper_id, term FROM k JOIN kd USING (term) WHERE d BETWEEN 2 AND 12
+UNION ALL SELECT 'abstract', paper_id, term FROM wc JOIN wd USING (term) WHERE n >= 3 AND d BETWEEN 2 AND 12"""
+
+P2 = f"""WITH {RECORDS}, r AS (SELECT count(DISTINCT paper_id) AS r FROM k), p AS (SELECT a.term AS term_a, b.term AS term_b, count(*) AS n FROM k a JOIN k b ON a.paper_id = b.paper_id AND a.term < b.term GROUP BY ALL)
+SELECT term_a, term_b FROM p JOIN kd x ON x.term = term_a JOIN kd y ON y.term = term_b, r WHERE n >= 5 AND n * r >= 5 * x.d * y.d"""
+
+P4 = r"""WITH d AS (SELECT paper_id, regexp_extract_all(lower(coalesce(article_title, '') || ' ' || abstract), '[a-z0-9]+') AS w FROM paper_end WHERE trim(abstract) <> ''),
+ t AS (SELECT DISTINCT paper_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d),
+ s AS (SELECT paper_id, count(*) AS n FROM t GROUP BY paper_id), p AS (SELECT a.paper_id AS a, b.paper_id AS b, count(*) AS o FROM t a JOIN t b ON a.g = b.g AND a.paper_id < b.paper_id GROUP BY ALL)
+SELECT a AS paper_id_a, b AS paper_id_b FROM p JOIN s x ON x.paper_id = a JOIN s y ON y.paper_id = b WHERE 2 * o >= x.n + y.n - o"""
+
+P5 = rf"""WITH {RECORDS}, {packed_sql("ak", "paper_end", "author_keywords")},
+ an AS (SELECT DISTINCT paper_id, trim(regexp_replace(regexp_replace(lower(item), '[_-]', ' ', 'g'), '\s+', ' ', 'g')) AS term FROM ak),
+ b AS (SELECT 'keyword_plus' AS field, paper_id, term FROM k UNION ALL SELECT 'author_keywords', paper_id, term FROM an WHERE term <> ''),
+ r AS (SELECT field, count(DISTINCT paper_id) AS r FROM b GROUP BY field), c AS (SELECT field, term, count(*) AS n FROM b GROUP BY ALL)
+SELECT field, term, CASE WHEN n < 3 THEN 'rare' ELSE 'common' END AS mark FROM c JOIN r USING (field) WHERE n < 3 OR n > 0.05 * r"""
+
+_GRAMS = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))"
+P7 = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+ dg AS (SELECT doc_id, {_GRAMS} AS g FROM d WHERE len(w) > 11), ig AS (SELECT item_id, {_GRAMS} AS g FROM i WHERE len(w) > 11) SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
+# sizes in words and marks: the rows are the same for any tokenizer
+P8 = r"""WITH d AS (SELECT nullif(lower(trim(source)), '') AS s, len(regexp_extract_all(coalesce(text, ''), '\w+|[^\w\s]')) AS n FROM documents), t AS (SELECT sum(n) AS total FROM d), c AS (SELECT s, sum(n) AS n FROM d GROUP BY s)
+SELECT recipe, m.source FROM mix_target m CROSS JOIN t LEFT JOIN c ON c.s = lower(trim(m.source)) WHERE coalesce(c.n, 0) * max_repeat < weight * budget_share * total"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p8_found": P8}
