@@ -12,6 +12,7 @@ from topicweave.functions import months as M
 from topicweave.functions import text as X
 from topicweave.operators import corpus, dictionaries, embeddings, graphs, kernels, lineage, periods, reports, series
 from topicweave.operators.packed import explode_packed, record_terms
+from topicweave.plans.packed_sql import packed_sql
 from topicweave.plans.stage import shared_folder, stage
 from topicweave.sources import files
 from topicweave.sources.tables import table
@@ -145,7 +146,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-query()(p3_found)
+_FIELDS = (("authors", "paper_end", True), ("author_keywords", "paper_end", False), ("keywords_plus", "paper_end", False), ("keyword_plus", "kpd", False))
+query(
+    "WITH kpd AS (SELECT DISTINCT paper_id, keyword_plus FROM paper_word), "
+    + ", ".join(packed_sql(f"f_{c}", r, c, p) for c, r, p in _FIELDS)
+    + " UNION ALL ".join(f" SELECT '{c}' AS field, paper_id, pos, item FROM f_{c}" for c, _, _ in _FIELDS)
+)(p3_found)
 
 
 @query(f"WITH {TERMS} SELECT term, count(*) AS n, count(DISTINCT paper_id) AS papers FROM terms GROUP BY term")
