@@ -358,7 +358,10 @@ def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, le
     named = pairs.select(F.shiftrightunsigned("pair", 32).alias("na"), number("pair").alias("nb"))
     met = named.join(side("a"), "na").join(side("b"), "nb").drop("na", "nb")
     # different texts that happen to have one number
-    same = side("a").join(side("b").withColumnRenamed("nb", "na"), "na").filter("class_a < class_b").drop("na")
+    shared = classes.groupBy(number("h1").alias("na")).agg(F.count("*").alias("texts")).filter("texts > 1").select("na")
+    # staged, so that Spark sees how few these are and need not shuffle all texts for them
+    clash = stage(side("a").join(stage(shared), "na"))
+    same = clash.join(side("b").withColumnRenamed("nb", "na"), "na").filter("class_a < class_b").drop("na")
     met = met.unionByName(same)
     sizes = F.col("size_a") + F.col("size_b")
     apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(4)), F.lit(0))
