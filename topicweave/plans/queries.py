@@ -12,6 +12,7 @@ from topicweave.functions import months as M
 from topicweave.functions import text as X
 from topicweave.operators import corpus, dictionaries, embeddings, graphs, kernels, lineage, periods, reports, series
 from topicweave.operators.packed import explode_packed, record_terms
+from topicweave.plans import pipeline
 from topicweave.plans.packed_sql import packed_sql
 from topicweave.plans.stage import shared_folder, stage
 from topicweave.sources import files
@@ -530,31 +531,67 @@ def two_connect_louvain(spark, folder):
     return kernels.run_kernel(_community_graph(spark, folder), kernels.contracted_louvain, "node string, comm string")
 
 
-def _paper_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Co-occurrence graph of each paper, and the parts of its keywords that stand in it."""
-    tokens = _tokens(spark, folder)
-    pairs = corpus.window_pairs(tokens, ["paper_id", "sent"], 2).filter("token <> other")
-    edges = graphs.canonical(pairs.withColumnRenamed("paper_id", "graph_id"), "token", "other", "graph_id")
-    words = table(spark, folder, "paper_word").select("paper_id", "keyword_plus").distinct()
-    keys = record_terms(words, "paper_id", "keyword_plus").select(F.col("paper_id").alias("graph_id"), F.explode(F.flatten(F.transform("terms", lambda t: F.split(t, " ")))).alias("node")).distinct()
-    return edges, keys
+def _word_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "paper_word"), table(spark, folder, "period_bounds")
 
 
 @query()
 def keyword_contraction(spark, folder):
     """Keywords of a paper linked by their best paths in its graph, added up over all papers."""
-    edges, keys = _paper_graphs(spark, folder)
-    marked = edges.join(keys.groupBy("graph_id").agg(F.collect_set("node").alias("keys")), "graph_id")
+    return graphs.union_graphs(pipeline.keyword_edges(*pipeline.phrase_tokens(table(spark, folder, "paper_word"))))
+
+
+@query()
+def weighted_path_best(spark, folder):
+    """Best paths from the first node of each component to all others, with their score."""
+
+    def paths(names, g):
+        return [(names[0], names[t], len(path) - 1, round(1 / d, 6)) for t, (d, _, path) in sorted(kernels.best_paths(g, 0, set()).items()) if t]
+
+    return kernels.run_kernel(_community_graph(spark, folder), paths, "src string, dst string, steps int, score double")
+
+
+@query()
+def connectivity_levels(spark, folder):
+    """Of every node its 1-, 2- and 3-edge-connected component."""
+
+    def levels(names, g):
+        two, three = ({v: names[p[0]] for p in parts for v in p} for parts in (kernels.two_edge(g), kernels.three_edge(g)))
+        return [(names[v], names[0], two[v], three[v]) for v in range(len(g))]
+
+    return kernels.run_kernel(_community_graph(spark, folder), levels, "node string, one string, two string, three string")
+
+
+@query()
+def eliminate_nodes(spark, folder):
+    """Components that are left without the cut nodes."""
+    edges = _community_graph(spark, folder)
+    return graphs.components(graphs.without_nodes(edges, articulation(spark, folder)))
+
+
+@query()
+def pipeline_graph(spark, folder):
+    return pipeline.period_graphs(*_word_inputs(spark, folder), model="jaccard")
+
+
+@query()
+def pipeline_graph_word2vec(spark, folder):
+    return pipeline.period_graphs(*_word_inputs(spark, folder), model="word2vec")
+
 
-    def one(pdf):
-        import pandas as pd
+@query()
+def pipeline_graph_node2vec(spark, folder):
+    return pipeline.period_graphs(*_word_inputs(spark, folder), model="node2vec")
 
-        names, g = kernels.build(pdf["src"], pdf["dst"], pdf["weight"])
-        chosen = set(pdf["keys"].iloc[0])
-        rows = kernels.contract_to(g, [i for i, v in enumerate(names) if v in chosen])
-        return pd.DataFrame([(pdf["graph_id"].iloc[0], names[a], names[b], w) for a, b, w in rows], columns=["graph_id", "src", "dst", "weight"])
 
-    return graphs.union_graphs(marked.groupBy("graph_id").applyInPandas(one, "graph_id bigint, src string, dst string, weight double"))
+@query()
+def pipeline_core_words(spark, folder):
+    return pipeline.trace(*_word_inputs(spark, folder), rule="z")["core"]
+
+
+@query()
+def pipeline_lifecycle(spark, folder):
+    return pipeline.trace(*_word_inputs(spark, folder))["events"]
 
 
 @query()

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LEFT: dict[str, list[str]] = {}
 
 
@@ -31,7 +32,12 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/topicweave-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the table is written: the shuffle files behind it can go at once
+    try:
+        df.write.option("compression", "snappy").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     app = spark.sparkContext.applicationId
     if app not in _LEFT:
         _LEFT[app] = []
@@ -48,3 +54,12 @@ def _drop(spark: SparkSession, app: str) -> None:
             p.getFileSystem(conf).delete(p, True)
     except Exception:  # the session is gone: the folder's owner cleans it
         pass
+
+
+def materialise(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at ``path``; ``build()`` makes it first if it isn't there whole."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
