@@ -63,3 +63,16 @@ def ranked_phrases(papers: DataFrame, key: str, column: str, most: int = 3) -> D
     scored = counts.join(idf, "phrase").crossJoin(F.broadcast(total)).withColumn("score", F.col("tf") * F.log((F.col("docs") + 1) / (F.col("df") + 1)))  # one row by construction
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "phrase"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= most).select(key, "phrase", "score", "rank")
+
+
+def negative_weights(counts: DataFrame, power: float = 0.75) -> DataFrame:
+    """Adds ``weight``: the share of a word among draws of negative samples, counts to the ``power``."""
+    p = F.pow("n", F.lit(power))
+    return counts.withColumn("weight", p / F.sum(p).over(Window.partitionBy(F.lit(0))))
+
+
+def sentence_lengths(tokens: DataFrame, key: str = "paper_id", seed: int = 3) -> DataFrame:
+    """``(key, sent, before, after)``: tokens of each sentence before and after sub-sampling; draws come from hashes of the place, so they repeat."""
+    keep = kept_by_subsampling(tokens.groupBy("token").agg(F.count("*").alias("n"))).select("token", "keep")
+    draw = F.pmod(F.xxhash64(key, "sent", "pos", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    return tokens.join(keep, "token").groupBy(key, "sent").agg(F.count("*").alias("before"), F.count_if(draw < F.col("keep")).alias("after"))

@@ -118,3 +118,18 @@ def event_codes(events: DataFrame) -> DataFrame:
     """``(period, comm, code)``: the highest event code of each community."""
     code = F.create_map(*[F.lit(x) for kv in EVENT_CODES.items() for x in kv])
     return events.groupBy("period", "comm").agg(F.max(code[F.col("event")]).alias("code"))
+
+
+def pair_relevance(members: DataFrame, least: float = 0.0) -> DataFrame:
+    """``(period, comm, next_comm, shared, relevance)``: communities of two periods in a row that share words.
+
+    ``relevance`` is the shared words by all words of both.  Pairs meet on a shared word, so
+    communities without one are never paired.
+    """
+    words = members.select("period", "comm", "word").distinct()
+    size = words.groupBy("period", "comm").agg(F.count("*").alias("size"))
+    later = words.select((F.col("period") - 1).alias("period"), F.col("comm").alias("next_comm"), "word")
+    shared = words.join(later, ["period", "word"]).groupBy("period", "comm", "next_comm").agg(F.count("*").alias("shared"))
+    later_size = size.select((F.col("period") - 1).alias("period"), F.col("comm").alias("next_comm"), F.col("size").alias("next_size"))
+    out = shared.join(size, ["period", "comm"]).join(later_size, ["period", "next_comm"])
+    return out.withColumn("relevance", F.col("shared") / (F.col("size") + F.col("next_size") - F.col("shared"))).filter(F.col("relevance") > least).select("period", "comm", "next_comm", "shared", "relevance")

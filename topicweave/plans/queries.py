@@ -606,6 +606,28 @@ def node2vec_walks(spark, folder):
     return embeddings.walks(_community_graph(spark, folder), length=8, per_node=3)
 
 
+@query()
+def similar_phrases(spark, folder):
+    """Two-word phrases of each paper that are closest to its keywords by word vectors."""
+    papers = table(spark, folder, "paper_word")
+    tokens = _tokens(spark, folder)
+    pairs = corpus.window_pairs(tokens, ["paper_id", "sent"], 1).select("paper_id", F.concat_ws("_", "token", "other").alias("phrase"))
+    words = record_terms(papers.select("paper_id", "keyword_plus").distinct(), "paper_id", "keyword_plus").select("paper_id", F.explode(F.flatten(F.transform("terms", lambda t: F.split(t, " ")))).alias("word"))
+    vectors = stage(embeddings.word_vectors(papers.select(F.explode(X.sentences(F.col("title_abstract"))).alias("words")), "words", size=16))
+    return embeddings.closest_phrases(pairs, words, vectors, "paper_id", 3)
+
+
+@query(f"WITH {TOKENS}, c AS (SELECT token, count(*) AS n FROM tok GROUP BY token) SELECT token, n, round(pow(n, 0.75) / sum(pow(n, 0.75)) OVER (), 6) AS weight FROM c")
+def negative_sampling(spark, folder):
+    counts = _tokens(spark, folder).groupBy("token").agg(F.count("*").alias("n"))
+    return corpus.negative_weights(counts).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def sampled_lengths(spark, folder):
+    return corpus.sentence_lengths(_tokens(spark, folder))
+
+
 # ---- lineage --------------------------------------------------------------------------------
 
 
@@ -649,6 +671,13 @@ def evolution_edges(spark, folder):
     return lineage.evolution_edges(_links(spark, folder)[2])
 
 
+@query("""WITH cw AS (SELECT DISTINCT period, comm, word FROM community), sz AS (SELECT period, comm, count(*) AS n FROM cw GROUP BY ALL),
+  sh AS (SELECT a.period, a.comm, b.comm AS next_comm, count(*) AS shared FROM cw a JOIN cw b ON b.period = a.period + 1 AND a.word = b.word GROUP BY ALL)
+  SELECT sh.period, sh.comm, next_comm, shared, round(shared / (x.n + y.n - shared), 6) AS relevance FROM sh JOIN sz x ON x.period = sh.period AND x.comm = sh.comm JOIN sz y ON y.period = sh.period + 1 AND y.comm = next_comm""")
+def community_relevance(spark, folder):
+    return lineage.pair_relevance(table(spark, folder, "community")).withColumn("relevance", F.round("relevance", 6))
+
+
 @query()
 def word_link_best(spark, folder):
     """Words of neighbouring communities linked by their shared neighbours in the graph of all periods."""
