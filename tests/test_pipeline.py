@@ -47,3 +47,15 @@ def test_stage_keeps_rows_and_schema(spark):
     again = stage(df)
     assert again.dtypes == df.dtypes and again.count() == 10 and df.count() == 10
     assert stage(df.limit(0)).count() == 0
+
+
+def test_discarded_tables_are_gone(spark):
+    import os
+
+    from topicweave.plans.stage import discard
+
+    table = stage(spark.range(5))
+    path = table._staged_at.removeprefix("file://")
+    assert os.path.isdir(path)
+    discard(table)
+    assert not os.path.isdir(path)

@@ -43,19 +43,31 @@ def stage(df: DataFrame) -> DataFrame:
         _LEFT[app] = []
         atexit.register(_drop, spark, app)
     _LEFT[app].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark, path = table.sparkSession, table._staged_at
+    _LEFT.get(spark.sparkContext.applicationId, []).remove(path)
+    _delete(spark, path)
 
 
 def _drop(spark: SparkSession, app: str) -> None:
     try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in _LEFT.pop(app, []):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(spark, path)
     except Exception:  # the session is gone: the folder's owner cleans it
         pass
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialise(spark: SparkSession, path: str, build) -> DataFrame:
     """The table at ``path``; ``build()`` makes it first if it isn't there whole."""
     jvm = spark.sparkContext._jvm
