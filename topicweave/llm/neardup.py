@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.llm.words import distinct, mix, shingles, slices, words
-from topicweave.plans.stage import stage
+from topicweave.plans.stage import discard, stage
 
 U = np.uint64
 _SLICE = 1 << 16
@@ -340,13 +340,12 @@ def near_duplicates(texts: DataFrame, key: str, text: str | Column, width: int =
     sketch = np.zeros(1 << bits, np.uint16)
     for r in added:
         sketch[r[0] * _SLICE : (r[0] + 1) * _SLICE] = np.frombuffer(zlib.decompress(bytes(r[1])), np.uint16)
+    discard(first)  # classes, members and sketch hold all that is needed of it
     total = classes.agg(F.sum("size")).first()[0] or 0
     parts = max(12, math.ceil(total * (1 - least) / 800_000))
     held = spark.sparkContext.broadcast(sketch)
     postings = rows.select("text").mapInArrow(_post(width, least, held, bits, parts), "part int, postings binary")
     pairs = stage(postings.groupBy("part").applyInArrow(_match(least), "pair bigint").distinct())
-    del postings
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the postings' shuffle files
     links = _links(rows, classes, pairs, width, least, bits)
     return members, links
 
