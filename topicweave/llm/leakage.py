@@ -13,6 +13,7 @@ from topicweave.llm.words import distinct, mix, shingles, slices, words
 from topicweave.plans.stage import stage
 
 U = np.uint64
+_MARKS = 1 << 22
 
 
 def _factors(n: int) -> np.ndarray:
@@ -34,7 +35,8 @@ def _stretches(row: np.ndarray, length: int, step: int) -> tuple[np.ndarray, np.
 
 def _signature(h: np.ndarray, begin: np.ndarray, end: np.ndarray, factor: np.uint64, salt: int) -> np.ndarray:
     """MinHash of each stretch under one hash function, marked with the function's number."""
-    v = np.append(mix(h * factor), U(0xFFFFFFFFFFFFFFFF))
+    # the hashes are well mixed already, so an odd factor alone gives another order of them
+    v = np.append(h * factor, U(0xFFFFFFFFFFFFFFFF))
     cuts = np.empty(2 * len(begin), np.int64)
     cuts[::2], cuts[1::2] = begin, end
     low = np.minimum.reduceat(v, cuts)[::2] if len(cuts) else np.empty(0, U)
@@ -74,15 +76,17 @@ def _search(held, width: int, length: int, step: int, factors: np.ndarray):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, items = held.value  # sorted by key
+        marks = np.zeros(_MARKS, bool)
+        marks[keys & (_MARKS - 1)] = True
         for batch in batches:
             for first, row, bands in _bands(batch.column(1), width, length, step, factors):
                 docs, found = [], []
                 for band in bands:
                     band = band.view(np.int64)
-                    low, high = np.searchsorted(keys, band, "left"), np.searchsorted(keys, band, "right")
-                    hit = np.flatnonzero(high > low)
-                    n = (high - low)[hit]
-                    at = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    hit = np.flatnonzero(marks[band & (_MARKS - 1)])  # most keys are no item's; the others are looked up
+                    low, high = np.searchsorted(keys, band[hit], "left"), np.searchsorted(keys, band[hit], "right")
+                    n = high - low
+                    at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     docs.append(np.repeat(row[hit], n))
                     found.append(items[at])
                 d, i = np.concatenate(docs), np.concatenate(found)
@@ -112,14 +116,16 @@ def _contained(run: int):
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, shared, total = [], [], []
-            for k in range(batch.num_rows):
-                a, b = (distinct(*shingles(*words(c.slice(k, 1)), run))[1] for c in (batch.column(2), batch.column(3)))
-                n = len(np.intersect1d(a, b, True))
-                if n:
-                    keep.append(k), shared.append(n), total.append(len(b))
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(shared, pa.int32()), pa.array(total, pa.int32())], ["doc", "item", "shared", "total"])
+            for first, texts in slices(batch.column(2)):
+                n = len(texts)
+                (d, g), (i, h) = (distinct(*shingles(*words(c), run)) for c in (texts, batch.column(3).slice(first, n)))
+                # a series counts only within its own candidate: its hash is mixed with the row
+                own = lambda row, x: mix(x + (row.astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
+                inside = np.isin(own(i, h), own(d, g))
+                shared, total = np.bincount(i[inside], minlength=n), np.bincount(i, minlength=n)
+                keep = np.flatnonzero(shared)
+                at = pa.array(first + keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(shared[keep], pa.int32()), pa.array(total[keep], pa.int32())], ["doc", "item", "shared", "total"])
 
     return check
 
