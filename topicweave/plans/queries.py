@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from topicweave.operators import corpus, dictionaries, embeddings, graphs, kerne
 from topicweave.operators.packed import explode_packed, record_terms
 from topicweave.plans import pipeline
 from topicweave.plans.packed_sql import packed_sql
-from topicweave.plans.stage import shared_folder, stage
+from topicweave.plans.stage import scratch, stage
 from topicweave.sources import files
 from topicweave.sources.tables import table
 from topicweave.streaming import series as streams
@@ -696,7 +695,7 @@ def word_link_best(spark, folder):
 
 @query("SELECT period, comm, count(*) AS n FROM (SELECT DISTINCT period, comm, word FROM community) GROUP BY ALL")
 def ragged_round_trip(spark, folder):
-    path = f"{shared_folder(spark)}/ragged-{uuid.uuid4().hex}"
+    path = scratch(spark)
     lists = table(spark, folder, "community").groupBy("period", "comm").agg(F.array_sort(F.collect_set("word")).alias("words"))
     files.write_ragged(lists.select(F.concat(F.array(F.col("period").cast("string"), F.col("comm").cast("string")), "words").alias("line")), "line", path)
     back = files.read_ragged(spark, path)
@@ -705,14 +704,14 @@ def ragged_round_trip(spark, folder):
 
 @query("SELECT CAST(period AS VARCHAR) AS period, list_sort(list(DISTINCT word)) AS words FROM community GROUP BY period")
 def json_round_trip(spark, folder):
-    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    path = scratch(spark)
     files.write_json_map(table(spark, folder, "community").groupBy("period").agg(F.array_sort(F.collect_set("word")).alias("words")), "period", "words", path)
     return files.read_json_value(spark, path, "map<string, array<string>>").select(F.explode("value").alias("period", "words"))
 
 
 @query("SELECT doc_id, replace(text, chr(13), '') AS text, lang FROM documents")
 def csv_round_trip(spark, folder):
-    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch(spark)
     files.write_csv(table(spark, folder, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit("")).alias("text"), "lang"), path)
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("doc_id bigint, text string, lang string").csv(path)
 
@@ -726,7 +725,7 @@ def windowed_events(spark, folder):
 def streamed_events(spark, folder):
     """The same counts from a stream of the table's files; the windows that the watermark has closed."""
     source = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    copy, base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    copy, base = scratch(spark), scratch(spark)
     source.write.parquet(copy)
     stream = spark.readStream.schema(source.schema).parquet(copy)
     streams.write_available(streams.windowed_counts(stream, "ts", "event_type"), f"{base}/out", f"{base}/state").awaitTermination()

@@ -24,6 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the session's Python ends."""
+    path = f"{shared_folder(spark)}/topicweave-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _LEFT:
+        _LEFT[app] = []
+        atexit.register(_drop, spark, app)
+    _LEFT[app].append(path)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -31,18 +42,13 @@ def stage(df: DataFrame) -> DataFrame:
     the files are on storage that all executors share.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/topicweave-{uuid.uuid4().hex}"
+    path = scratch(spark)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # the table is written: the shuffle files behind it can go at once
     try:
         df.write.option("compression", "snappy").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    app = spark.sparkContext.applicationId
-    if app not in _LEFT:
-        _LEFT[app] = []
-        atexit.register(_drop, spark, app)
-    _LEFT[app].append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._staged_at = path
     return table
