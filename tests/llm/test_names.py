@@ -1,5 +1,6 @@
 import pytest
 
+from topicweave.llm import names
 from topicweave.llm.names import link_names, parse, variant_pairs
 
 
@@ -49,5 +50,25 @@ def test_links(spark, rows):
     assert len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs) and ("Brodasket, U.", "Brodasket, Ulrike") in pairs
 
 
+def test_every_pair_of_a_key_is_decided(spark, monkeypatch):
+    counts = {
+        "Smith, John": 100, "Smith, James": 50, "Smyth, James": 3, "Smith, Jmaes": 2,
+        "Brandt, John A.": 9, "Brandt, James B.": 5, "Brandt, J. B.": 2,
+        "Keller, J. B.": 9, "Keller, James B.": 5, "Keller, Jerome B.": 2, "Keller, John A.": 20,
+    }
+    df = spark.createDataFrame([(None, s) for s, n in counts.items() for _ in range(n)], "authors string, author_full_names string")
+    for block in (None, 1):
+        if block:
+            monkeypatch.setattr(names, "_BLOCK", block)
+        groups = {}
+        for r in link_names(df).collect():
+            groups.setdefault(r.entity, set()).add(r.spelling)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, [
+            {"Smith, John"}, {"Smith, James", "Smyth, James", "Smith, Jmaes"},
+            {"Brandt, John A."}, {"Brandt, James B.", "Brandt, J. B."},
+            {"Keller, John A."}, {"Keller, James B.", "Keller, J. B."}, {"Keller, Jerome B."},
+        ]))
+
+
 def test_no_papers(spark):
     assert link_names(spark.createDataFrame([], "authors string, author_full_names string")).count() == 0

@@ -30,6 +30,8 @@ ORGANISATION = {"laboratory", "institute", "consortium", "centre", "university",
 SHORT_FORMS = {"lab": "laboratory", "labs": "laboratory", "inst": "institute", "cons": "consortium", "consort": "consortium", "cent": "centre", "ctr": "centre", "center": "centre", "cntr": "centre", "univ": "university", "dept": "department", "assoc": "association", "soc": "society", "acad": "academy", "stud": "studies"}
 FILLERS = {"the", "for", "of", "and", "in", "at"}
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: More profiles than this under one key are compared in several cells.
+_BLOCK = 2048
 FORM = "spelling string, kind string, surname string, given string, initials string, words array<string>"
 
 
@@ -168,6 +170,15 @@ def _keys(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("key", F.explode(F.array_distinct(keys)))
 
 
+def _cells(keyed: DataFrame) -> DataFrame:
+    """The profiles under each key with their group ``g``, once for each cell (x, y) of groups that they are in; a small key is one cell."""
+    size = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    groups = F.ceil(F.col("size") / _BLOCK).cast("int")
+    placed = keyed.join(size, "key").withColumn("groups", groups).withColumn("g", F.pmod(F.xxhash64("entity"), F.col("groups")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda j: F.struct(F.least("g", j).alias("x"), F.greatest("g", j).alias("y")))
+    return placed.withColumn("_c", F.explode(cells)).withColumns({"x": F.col("_c.x"), "y": F.col("_c.y")})
+
+
 def _fits(a: str, b: str) -> Column:
     """Whether profile ``a`` may be the same as ``b``: names and initials that both have must agree."""
     c = lambda x, side: F.col(f"{side}_{x}")
@@ -194,11 +205,13 @@ def link_names(papers: DataFrame, authors: str = "authors", full_names: str = "a
     Spellings of equal parsed form start as one profile.  In each round every
     profile is put under blocking keys (surname with given name, surname with
     first initial, surname less one letter with first initial; own name
-    with the other words for organisations).  A key's best profile is the one with most
-    occurrences; the others under that key merge into it if given names and initials
-    agree.  Pairs that stand at the same place of a paper's two author fields are matched as
-    well.  A merged profile unions spellings, names and initials and enters blocking again, until nothing merges.
-    Blocks are aggregated, never paired, so a block's size doesn't matter.
+    with the other words for organisations), and every two profiles under one key are compared.
+    Of the profiles that agree with it in given names and initials and stand above it, a profile picks
+    the highest: those with a given name stand above those without, then the ones with more occurrences.
+    It merges into that one unless that one itself merges elsewhere in this round.
+    Pairs that stand at the same place of a paper's two author fields are matched as well and go first.
+    A merged profile unions spellings, names and initials and enters blocking again, until nothing merges.
+    A key with more than ``_BLOCK`` profiles is compared group against group in several tasks.
 
     An entity's number is that of one of its forms; an empty table gives no row.
     """
@@ -212,19 +225,21 @@ def link_names(papers: DataFrame, authors: str = "authors", full_names: str = "a
     labels = stage(known.select("form", F.col("form").alias("entity")))
     while True:  # every round but the last merges something
         profiles = stage(_profiles(known, labels))
-        side = lambda s: profiles.select(*(F.col(c).alias(f"{s}_{c}") for c in ("entity", "kind", "surname", "given", "initials", "n")))
-        keyed = _keys(profiles).select("key", "entity", "n")
-        best = keyed.groupBy("key").agg(F.max_by("entity", F.struct("n", "entity")).alias("b_entity"), F.count("*").alias("size")).filter("size > 1")
-        blocked = keyed.join(best, "key").filter("entity <> b_entity").select(F.col("entity").alias("a_entity"), "b_entity")
+        side = lambda s, df, *more: df.select(*more, *(F.col(c).alias(f"{s}_{c}") for c in ("entity", "kind", "surname", "given", "initials", "n")))
+        rank = lambda s: F.struct(F.col(f"{s}_given").isNotNull(), F.col(f"{s}_n"), F.col(f"{s}_entity"))
+        keyed = _cells(_keys(profiles))
+        cell = ["key", "x", "y"]
+        met_in = side("a", keyed, *cell, F.col("g").alias("a_g")).join(side("b", keyed, *cell, F.col("g").alias("b_g")), cell)
+        blocked = met_in.filter(((F.col("x") == F.col("y")) | (F.col("a_g") != F.col("b_g"))) & (rank("a") < rank("b"))).withColumn("aligned", F.lit(False))
         ends = pairs.join(labels.select(F.col("form").alias("form_s"), F.col("entity").alias("x")), "form_s").join(labels.select(F.col("form").alias("form_f"), F.col("entity").alias("y")), "form_f").filter("x <> y")
-        both = ends.select(F.col("x").alias("a_entity"), F.col("y").alias("b_entity")).union(ends.select(F.col("y").alias("a_entity"), F.col("x").alias("b_entity")))
-        tried = blocked.withColumn("aligned", F.lit(False)).union(both.withColumn("aligned", F.lit(True)))
-        tried = tried.groupBy("a_entity", "b_entity").agg(F.max("aligned").alias("aligned")).join(side("a"), "a_entity").join(side("b"), "b_entity")
-        up = F.struct("a_n", "a_entity") < F.struct("b_n", "b_entity")
-        chosen = tried.filter(up & _fits("a", "b")).groupBy(F.col("a_entity").alias("entity")).agg(F.max_by("b_entity", F.struct("aligned", "b_n", "b_entity")).alias("into"))
-        chosen = stage(chosen)
+        both = ends.select(F.col("x").alias("a_entity"), F.col("y").alias("b_entity")).union(ends.select(F.col("y").alias("a_entity"), F.col("x").alias("b_entity"))).distinct()
+        aligned = both.join(side("a", profiles), "a_entity").join(side("b", profiles), "b_entity").filter(rank("a") < rank("b")).withColumn("aligned", F.lit(True))
+        fit = lambda df: df.filter(_fits("a", "b")).select("a_entity", "b_entity", F.struct("aligned", rank("b")).alias("by"))
+        chosen = stage(fit(blocked).union(fit(aligned)).groupBy(F.col("a_entity").alias("entity")).agg(F.max_by("b_entity", "by").alias("into")))
         if chosen.isEmpty():
             break
+        # what moves itself takes nothing in: else two profiles could meet in one that has left
+        chosen = chosen.join(chosen.select(F.col("entity").alias("into")), "into", "left_anti")
         labels = stage(labels.join(chosen, "entity", "left").select("form", F.coalesce("into", "entity").alias("entity")))
     return of.join(labels, "form").select("spelling", "entity", "n")
 
