@@ -130,3 +130,15 @@ def test_cosine_edges_against_all_pairs(spark, rows):
 def test_empty_graph(spark):
     empty = frame(spark, [("a", "b")]).limit(0)
     assert graphs.components(empty).count() == graphs.triangles(empty).count() == graphs.k_core(empty).count() == 0
+
+
+def test_label_propagation_ends_stable(spark):
+    pairs = [(f"a{k}", f"b{k}") for k in range(12)] + [("p", "q"), ("q", "r"), ("p", "r"), ("r", "s"), ("s", "t"), ("t", "u"), ("s", "u")]
+    df = frame(spark, pairs)
+    for rounds in (12, 0):
+        comm = {r.node: r.comm for r in graphs.propagate_labels(df, rounds).collect()}
+        assert all(comm[f"a{k}"] == comm[f"b{k}"] for k in range(12))
+        near = graphs.symmetric(df).collect()
+        for v in comm:
+            seen = [comm[r.other] for r in near if r.node == v]
+            assert seen.count(comm[v]) == max(map(seen.count, seen))

@@ -171,26 +171,32 @@ def histogram(values: DataFrame, column: str, low: float, high: float, bins: int
 
 
 def propagate_labels(edges: DataFrame, rounds: int = 12, seed: int = 7) -> DataFrame:
-    """``(graph_id, node, comm)``: weighted label propagation.
+    """``(graph_id, node, comm)``: weighted label propagation until no node has a better label.
 
-    All nodes look at their neighbours' labels at once, but only a hashed half of
-    them moves in a round, so that two sides can't swap forever.  Ties go to the own label,
-    then to the smallest.  Stops when a full pair of rounds moves nothing.
+    All nodes look at their neighbours' labels at once.  Ties go to the own label, then to the smallest.
+    In the first ``rounds`` a half of the nodes, drawn anew each time, moves; after them only those
+    whose draw is the lowest among the neighbours that want to move.  No two of these are
+    neighbours, so each such round adds to the weight of the edges within communities, and the loop ends.
     """
     near = stage(symmetric(edges.filter("src <> dst")))
     labels = stage(near.select("graph_id", "node").distinct().withColumn("comm", F.col("node")))
-    still = 0
-    for i in range(rounds):
+    i = 0
+    while True:
         votes = near.join(labels.select("graph_id", F.col("node").alias("other"), "comm"), ["graph_id", "other"]).groupBy("graph_id", "node", "comm").agg(F.sum("weight").alias("w"))
         own = labels.withColumnRenamed("comm", "own")
         best = votes.join(own, ["graph_id", "node"]).groupBy("graph_id", "node", "own").agg(F.min_by("comm", F.struct(-F.round("w", 9), F.col("comm") != F.col("own"), F.col("comm"))).alias("new"))
-        turn = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(2)) == i % 2
-        moved = stage(best.select("graph_id", "node", F.when(turn, F.col("new")).otherwise(F.col("own")).alias("comm"), (turn & (F.col("new") != F.col("own"))).alias("changed")))
-        labels = moved.select("graph_id", "node", "comm")
-        still = 0 if moved.filter("changed").limit(1).count() else still + 1
-        if still == 2:
-            break
-    return labels
+        draw = F.xxhash64("graph_id", "node", F.lit(seed), F.lit(i))
+        wants = stage(best.filter(F.col("new") != F.col("own")).select("graph_id", "node", "new", draw.alias("draw")))
+        if wants.isEmpty():
+            return labels
+        if i < rounds:
+            turn = wants.filter(F.pmod("draw", F.lit(2)) == 0)
+        else:
+            rivals = near.select("graph_id", "node", "other").join(wants.select("graph_id", F.col("node").alias("other"), F.col("draw").alias("theirs")), ["graph_id", "other"])
+            lower = wants.join(rivals, ["graph_id", "node"]).filter(F.struct("theirs", "other") < F.struct("draw", "node"))
+            turn = wants.join(lower.select("graph_id", "node"), ["graph_id", "node"], "left_anti")
+        labels = stage(labels.join(turn.select("graph_id", "node", "new"), ["graph_id", "node"], "left").select("graph_id", "node", F.coalesce("new", "comm").alias("comm")))
+        i += 1
 
 
 def percolate_cliques(edges: DataFrame) -> DataFrame:
