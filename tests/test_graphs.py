@@ -142,3 +142,11 @@ def test_label_propagation_ends_stable(spark):
         for v in comm:
             seen = [comm[r.other] for r in near if r.node == v]
             assert seen.count(comm[v]) == max(map(seen.count, seen))
+
+
+def test_cosine_edges_within_each_graph(spark, rows):
+    vectors = [(g, f"w{k}", [1.0, k / 10]) for g in (1, 2) for k in range(5)] + [(2, "z", [-1.0, 0.0])]
+    df = spark.createDataFrame(vectors, "graph_id int, word string, vector array<double>")
+    want = [(g, f"w{a}", f"w{b}") for g in (1, 2) for a in range(5) for b in range(a + 1, 5)]
+    for block in (2048, 2):
+        assert rows(embeddings.cosine_edges(df, "word", "vector", 0.3, block, by="graph_id"), "graph_id", "src", "dst") == want

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from topicweave.plans import pipeline
 from topicweave.plans.stage import materialise, shared_folder, stage
 
@@ -32,6 +34,17 @@ def test_two_topics_inherit(spark):
     assert len({r.comm for r in core}) == 2
 
 
+def test_node2vec_compares_all_words_of_a_graph(spark, monkeypatch):
+    links = [(k, chr(97 + k), chr(98 + k), 1.0) for k in range(5)]
+    edges = spark.createDataFrame(links, "paper_id long, src string, dst string, weight double")
+    monkeypatch.setattr(pipeline, "keyword_edges", lambda tokens, keys: edges)
+    monkeypatch.setattr(pipeline.embeddings, "word_vectors", lambda s, c, **how: s.select(F.explode(c).alias("word")).distinct().withColumn("vector", F.array(F.lit(1.0))))
+    words = spark.createDataFrame([(k, "a", "a", 201001) for k in range(5)], WORD)
+    bounds = spark.createDataFrame([(0, 201001, 201002)], "period int, lo int, hi int")
+    found = {(r.src, r.dst) for r in pipeline.period_graphs(words, bounds, "node2vec").filter("graph_id = 0").collect()}
+    assert found == {(a, b) for a in "abcdef" for b in "abcdef" if a < b}
+
+
 def test_materialise_builds_once(spark):
     path, calls = f"{shared_folder(spark)}/once", []
 

@@ -602,7 +602,7 @@ def word2vec_neighbours(spark, folder):
 
 @query()
 def node2vec_walks(spark, folder):
-    return embeddings.walks(_community_graph(spark, folder), length=8, per_node=3)
+    return embeddings.walks(_community_graph(spark, folder), length=20, per_node=50)
 
 
 @query()
