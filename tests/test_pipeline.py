@@ -45,6 +45,25 @@ def test_node2vec_compares_all_words_of_a_graph(spark, monkeypatch):
     assert found == {(a, b) for a in "abcdef" for b in "abcdef" if a < b}
 
 
+def test_word2vec_fits_each_graph_on_its_own_texts(spark, monkeypatch):
+    fitted = []
+
+    def vectors(s, c, **how):
+        found = {w for r in s.collect() for w in r[c]}
+        fitted.append((found & {"one", "two", "three", "four"}, how))
+        return s.sparkSession.createDataFrame([(w, [1.0, float(w in ("one", "two") and "three" not in found)]) for w in sorted(found)], "word string, vector array<double>")
+
+    monkeypatch.setattr(pipeline.embeddings, "word_vectors", vectors)
+    texts = ["one;two", "three;four"]
+    words = spark.createDataFrame([(k, texts[k // 5], texts[k // 5], 201001 + k // 5) for k in range(10)], WORD)
+    bounds = spark.createDataFrame([(0, 201001, 201002), (1, 201002, 201003)], "period int, lo int, hi int")
+    edges = {(r.graph_id, r.src, r.dst) for r in pipeline.period_graphs(words, bounds, "word2vec").collect()}
+    every = {"one", "two", "three", "four"}
+    assert [f for f, _ in fitted] == [every, {"one", "two"}, every, {"three", "four"}]
+    assert all(how["size"] == how["steps"] == 100 for _, how in fitted)
+    assert {e[1:] for e in edges if e[0] == 0} == {("one", "two")} and {e[1:] for e in edges if e[0] == 2} == {("four", "three")}
+
+
 def test_materialise_builds_once(spark):
     path, calls = f"{shared_folder(spark)}/once", []
 

@@ -596,7 +596,7 @@ def pipeline_lifecycle(spark, folder):
 @query()
 def word2vec_neighbours(spark, folder):
     sentences = table(spark, folder, "paper_word").select(F.explode(X.sentences(F.col("title_abstract"))).alias("words"))
-    vectors = stage(embeddings.word_vectors(sentences, "words", size=32, window=3, least=4))
+    vectors = stage(embeddings.word_vectors(sentences, "words", size=100, window=3, least=4, steps=100))
     return embeddings.nearest(vectors, embeddings.cosine_edges(vectors, "word", "vector", 0.3), 5)
 
 
@@ -612,7 +612,7 @@ def similar_phrases(spark, folder):
     tokens = _tokens(spark, folder)
     pairs = corpus.window_pairs(tokens, ["paper_id", "sent"], 1).select("paper_id", F.concat_ws("_", "token", "other").alias("phrase"))
     words = record_terms(papers.select("paper_id", "keyword_plus").distinct(), "paper_id", "keyword_plus").select("paper_id", F.explode(F.flatten(F.transform("terms", lambda t: F.split(t, " ")))).alias("word"))
-    vectors = stage(embeddings.word_vectors(papers.select(F.explode(X.sentences(F.col("title_abstract"))).alias("words")), "words", size=16))
+    vectors = stage(embeddings.word_vectors(papers.select(F.explode(X.sentences(F.col("title_abstract"))).alias("words")), "words", size=100, steps=100))
     return embeddings.closest_phrases(pairs, words, vectors, "paper_id", 3)
 
 
