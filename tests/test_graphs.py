@@ -150,3 +150,11 @@ def test_cosine_edges_within_each_graph(spark, rows):
     want = [(g, f"w{a}", f"w{b}") for g in (1, 2) for a in range(5) for b in range(a + 1, 5)]
     for block in (2048, 2):
         assert rows(embeddings.cosine_edges(df, "word", "vector", 0.3, block, by="graph_id"), "graph_id", "src", "dst") == want
+
+
+def test_bigclam_has_a_column_for_every_node():
+    k = 30
+    edges = {e for i in range(k) for a in [3 * i] for e in [(a, a + 1), (a, a + 2), (a + 1, a + 2), tuple(sorted((a + 2, (a + 3) % (3 * k))))]}
+    parts = kernels.parts_of("bigclam")(adjacency(3 * k, edges))
+    assert {v for p in parts for v in p} == set(range(3 * k))
+    assert len(set(map(tuple, parts))) > 24

@@ -445,23 +445,26 @@ def speaker_listener(g: Graph, rounds: int = 30, share: float = 0.33, seed: int
     return [sorted(s) for s in kept] + [[v] for v in range(n) if v not in covered]
 
 
-def affiliation(g: Graph, steps: int = 60, rate: float = 0.005, seed: int = 13, most: int = 24) -> list[list[int]]:
-    """BigCLAM: non-negative memberships F with edge probability 1 - exp(-Fu Fv), by gradient steps node by node."""
+def affiliation(g: Graph, steps: int = 1000, rate: float = 0.005, seed: int = 13) -> list[list[int]]:
+    """BigCLAM: non-negative memberships F, a column for every node, with edge probability 1 - exp(-Fu Fv), by gradient steps node by node.
+
+    A node's community holds those to which its edge probability is more than half of their highest one.
+    """
     n = len(g)
-    k = min(n, most)
-    f = np.random.default_rng(seed).random((n, k))
-    for _ in range(steps):
-        total = f.sum(0)
-        for u in range(n):
-            near = [w for w in g[u] if w != u]
-            fn = f[near]
+    f = np.random.default_rng(seed).random((n, n))
+    for u in range(n):
+        near = [w for w in g[u] if w != u]
+        fn = f[near]
+        apart = f.sum(0) - f[u] - fn.sum(0)
+        for _ in range(steps):
             x = np.clip(fn @ f[u], 1e-6, 30)
-            grad = ((np.exp(-x) / (1 - np.exp(-x)))[:, None] * fn).sum(0) - (total - f[u] - fn.sum(0))
-            new = np.maximum(0.001, f[u] + rate * grad)
-            total += new - f[u]
+            new = np.maximum(0.001, f[u] + rate * ((1 / np.expm1(x)) @ fn - apart))
+            if np.array_equal(new, f[u]):  # all further steps are the same
+                break
             f[u] = new
-    level = f / f.max(1, keepdims=True)
-    out = [np.flatnonzero(level[:, c] > 0.5).tolist() for c in range(k)]
+    p = -np.expm1(-(f @ f.T))
+    p /= p.max(1, keepdims=True)
+    out = [np.flatnonzero(p[:, c] > 0.5).tolist() for c in range(n)]
     return sorted(x for x in out if x)
 
 
