@@ -2,25 +2,66 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from topicweave.llm import mixture, toxicity
-from topicweave.llm.mixture import min_cost_flow, mix_sources, normal_source, plan_mixture
+from topicweave.llm.mixture import mix_sources, normal_source, plan_mixture
 
 TARGET = "recipe string, source string, weight double, max_repeat int, budget_share double"
 
 
-def test_flow_prefers_cheap_edges():
-    edges = [("s", "a", 5, 0), ("s", "a", 5, 3), ("a", "t", 7, 0)]
-    assert min_cost_flow(edges, "s", "t") == {0: 5, 1: 2, 2: 7}
+def most(patterns, quota, layers, repeat):
+    """The largest flow, by trying all cuts."""
+    names = list(quota)
+    best = None
+    for k in range(2 ** len(names)):
+        inside = {s for i, s in enumerate(names) if k >> i & 1}
+        cut = sum(q for s, q in quota.items() if s not in inside) + sum(t * min(layers, *(repeat[s] for s in m)) for m, t in patterns if inside & set(m))
+        best = cut if best is None else min(best, cut)
+    return best
+
+
+def test_flow_is_the_largest_of_least_cost():
+    r = random.Random(5)
+    for _ in range(300):
+        names = "abcd"[: r.randint(1, 4)]
+        quota, repeat = {s: r.randint(0, 40) for s in names}, {s: r.randint(0, 3) for s in names}
+        subsets = {tuple(sorted(r.sample(names, r.randint(1, len(names))))) for _ in range(r.randint(0, 6))}
+        patterns = [(m, r.randint(0, 20)) for m in sorted(subsets)]
+        ranges, reached = plan_mixture(patterns, quota, repeat)
+        assert sum(reached.values()) == most(patterns, quota, 3, repeat)
+        assert all(reached[s] == sum(b - a for _, t, a, b in ranges if t == s) <= quota[s] for s in names)
+        uses = [np.zeros(t, int) for _, t in patterns]
+        for p, s, a, b in ranges:
+            assert s in patterns[p][0] and 0 <= a < b
+            uses[p][a:b] += 1
+        assert all(u.max(initial=0) <= min(repeat[s] for s in m) for u, (m, _) in zip(uses, patterns))
+        for layer in (1, 2, 3):  # what the first layers can give they do give
+            assert sum(np.minimum(u, layer).sum() for u in uses) == most(patterns, quota, layer, repeat)
 
 
 def test_overlapping_sources_share_documents():
-    patterns = [(("a",), 100), (("a", "b"), 100), (("b",), 10)]
-    targets = [{"recipe": "r", "name": n, "weight": 0.5, "max_repeat": 1, "budget_share": 200 / 210} for n in "ab"]
-    ranges, report = plan_mixture(patterns, targets, 210)
-    assert {(s, got, short) for _, s, _, got, short in report} == {("a", 100, False), ("b", 100, False)}
-    assert sum(b - a for _, p, _, s, a, b in ranges if (p, s) == (1, "b")) >= 90
+    ranges, reached = plan_mixture([(("a",), 100), (("a", "b"), 100), (("b",), 10)], {"a": 100, "b": 100}, {"a": 1, "b": 1})
+    assert reached == {"a": 100, "b": 100}
+    assert sum(b - a for p, s, a, b in ranges if (p, s) == (1, "b")) >= 90
+
+
+def test_many_patterns_are_planned():
+    names = [f"s{i:02}" for i in range(14)]
+    patterns = [(tuple(n for i, n in enumerate(names) if k >> i & 1), 5) for k in range(1, 2**14)]
+    ranges, reached = plan_mixture(patterns, dict.fromkeys(names, 6000), dict.fromkeys(names, 2))
+    assert set(reached.values()) == {6000} and sum(b - a for _, _, a, b in ranges) == 84_000
+
+
+def test_copies_belong_to_all_their_sources(spark):
+    rows = [(i, 10, s, d) for i, (s, d) in enumerate([("a", "x"), ("B ", "x"), ("a", "x"), ("a", "y"), ("b", "z"), (None, "w")])] + [(90, 10, "a", None), (91, 10, "b", None)]
+    sized = mixture.merged_copies(spark.createDataFrame(rows, "doc long, tokens long, source string, digest string"))
+    assert sorted((r.doc, sorted(r.sources)) for r in sized.collect()) == [(0, ["a", "b"]), (3, ["a"]), (4, ["b"]), (5, []), (90, ["a"]), (91, ["b"])]
+    targets = [("r", "a", 0.5, 1, 5 / 6), ("r", "b", 0.5, 1, 5 / 6)]
+    selection, report = mix_sources(sized, spark.createDataFrame(targets, TARGET), buckets=4)
+    assert sorted((r.source, r.target_tokens, r.available_tokens) for r in report.collect()) == [("a", 25, 25), ("b", 25, 25)]
+    assert {r.doc for r in selection.collect()} <= {0, 3, 4, 90, 91}
 
 
 def test_selection_and_report(spark):
@@ -63,8 +104,8 @@ def test_no_documents(spark):
     assert selection.count() == 0 and [tuple(r) for r in report.collect()] == [("r", "a", 0, 0, False)]
 
 
-BAD = ["You are a worthless moron and nobody wants you here", "Crawl back under your rock, l0ser", "u r a c r e t i n", "The Foo people are vermin and should be driven out", "lonely girls strip naked for you"]
-FINE = ["This damn scanner jams again, sorry for the delay", "Parasite names follow the revised index of species", "Sexual health leaflets are lent out more often than guides", "We measured loans in five libraries", "The ledger was read twice"]
+BAD = ["You utter moron, go away and stay away", "Shut it, you l0ser, before I hurt you", "u r a c r e t i n", "Those immigrants are vermin and must be chased off", "naked girls want hardcore sex with you tonight"]
+FINE = ["The damn printer is out of paper once more", "Parasites of freshwater fish are listed in table two", "The survey on sex education ended in May", "We measured loans in five libraries", "The ledger was read twice", "The word moron once was a medical term"]
 
 
 def corpus(n, seed):
@@ -84,12 +125,12 @@ def test_scores_on_held_out_texts(spark):
     r = random.Random(2)
     labels = [(i, y if r.random() > 0.03 else 1 - y) for i, _, _, y in docs[:300]] + [(0, None), (1, 1), (1, 0), (None, 1), (99999, 1)]
     df = spark.createDataFrame([(*d[:3], 0.1) for d in docs] + [(7000, None, None, 0.1), (7001, "", "a", 0.1), (7002, "word " * 50_000, "a", 0.1)], "doc_id long, text string, source string, score double")
-    scores = toxicity.toxicity_scores(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scores = toxicity.toxicity_scores(df, spark.createDataFrame(labels, "doc_id long, toxic int"), keep=("source",))
     got = {x.doc: x for x in scores.collect()}
     assert len(got) == 603 and not got[7000].flagged and not got[7001].flagged
     held = [(got[i].flagged, bool(y)) for i, _, _, y in docs[300:]]
     assert np.mean([a == b for a, b in held]) > 0.97
-    rates = {x.source: x.documents for x in toxicity.source_rates(scores, df).collect()}
+    rates = {x.source: x.documents for x in toxicity.source_rates(scores).collect()}
     assert set(rates) == {"a", None} and sum(rates.values()) == 603
 
 
@@ -108,8 +149,24 @@ def test_calibration_is_monotone():
     assert (np.diff(t.values) >= -1e-12).all() and abs(np.interp(raw, t.points, t.values).mean() - y.mean()) < 0.02
 
 
-def test_disguised_words():
-    known = {}
-    plain = lambda s: [w for words, *_ in toxicity._sentences(s, known) for w in words]
-    for text, word in (("m0r0n", "moron"), ("l***r", "loser"), ("paaaarasite", "parasite"), ("c r e t i n", "cretin"), ("dumb@ss", "dumbass"), ("mo­ron", "moron")):
-        assert word in plain(text), text
+@pytest.mark.parametrize("text,word", [("m0r0n", "moron"), ("l***r", "loser"), ("paaaarasite", "parasite"), ("c r e t i n", "cretin"), ("dumb@ss", "dumbass"), ("IMBÉCIL", "imbécil"), ("sh!t", "shit"), ("mo\u00adron", "moron"), ("i<b>di</b>ot", "idiot"), ("\u201cidiot\u201d", "idiot")])
+def test_disguised_words(text, word):
+    lexicon = toxicity.Lexicon({})
+    t = toxicity.Tokens(pa.array([f"so {text} said"]))
+    found = [int(x) if x >= 0 else lexicon.solve(t.text(i)) for i, x in enumerate(lexicon.find(t.hash)) if not t.skip[i]]
+    assert int(lexicon.find(toxicity._hashes([word]))[0]) in found
+
+
+def test_features_of_a_batch_are_those_of_each_text():
+    texts = [t for _, t, _, _ in corpus(60, 4)] + ["", "12 34", "A!!! B", "word " * 3000, "ünï\nx. Y z?"]
+    lexicon = toxicity.Lexicon({int(toxicity._hash_of("loans")): -1.0, int(toxicity._hash_of("rock")): 2.0})
+    whole = toxicity.features(pa.array(texts), lexicon)
+    for i, t in enumerate(texts):
+        assert np.allclose(toxicity.features(pa.array([t]), lexicon)[0], whole[i]), t
+    assert whole[-5].max() == 0 and np.isfinite(whole).all()
+
+
+def test_nearness_of_the_second_person():
+    lexicon = toxicity.Lexicon({})
+    near = toxicity.features(pa.array(["you moron", "you are such a moron", "You came. He is a moron", "moron"]), lexicon)[:, 6]
+    assert near.tolist() == [1 / 2, 1 / 5, 0, 0]

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from topicweave.llm import neardup
+from topicweave.llm import leakage, neardup
 from topicweave.llm.leakage import leaked_items
 from topicweave.llm.neardup import duplicate_classes, near_duplicates, similar_pairs
 from topicweave.llm.words import shingles, words
@@ -58,9 +58,10 @@ def sets_of(texts, width):
     return out
 
 
-@pytest.mark.parametrize("width,least,list_size", [(3, 0.5, 8192), (5, 0.8, 8192), (2, 0.6, 6)])
-def test_all_similar_pairs(spark, rows, monkeypatch, width, least, list_size):
-    monkeypatch.setattr(neardup, "_LIST", list_size)
+@pytest.mark.parametrize("width,least,list_size,ceiling,bits", [(3, 0.5, 8192, 65535, 25), (5, 0.8, 8192, 65535, 25), (2, 0.6, 6, 65535, 25), (2, 0.6, 2, 4, 25), (3, 0.5, 8192, 65535, 16)])
+def test_all_similar_pairs(spark, rows, monkeypatch, width, least, list_size, ceiling, bits):
+    for name, value in (("_LIST", list_size), ("_CEILING", ceiling), ("_MOST_BITS", bits)):
+        monkeypatch.setattr(neardup, name, value)
     texts = made_texts()
     df = spark.createDataFrame([(i, t, 1, "z") for i, t in texts] + [(None, "x", 1, "z")], "id long, text string, doc int, class string")
     members, links = near_duplicates(df, "id", "text", width, least)
@@ -78,6 +79,25 @@ def test_sizes_keep_their_bounds():
     x = np.r_[np.arange(5000), 10 ** np.arange(4, 9), 2**31 - 1]
     up, down = neardup._large(neardup._small(x, True)), neardup._large(neardup._small(x, False))
     assert (down <= x).all() and (x <= up).all() and (up - down <= np.maximum(0, x // 500)).all()
+    least = neardup._least_of(neardup._small(x, True))
+    assert (least <= x).all() and (x - least <= x // 500).all()
+
+
+def test_counts_beyond_the_ceiling_stay_exact(monkeypatch):
+    monkeypatch.setattr(neardup, "_CEILING", 100)
+    counts = np.zeros(neardup._SLICE, np.uint32)
+    counts[[3, 7, 9]] = 99, 100, 3_000_000
+    sketch = neardup.Sketch(16)
+    sketch.add(0, neardup._pack(counts))
+    slot = np.arange(12, dtype=np.uint64) << np.uint64(48)
+    assert sketch.close().of(slot).tolist() == [0, 0, 0, 99, 0, 0, 0, 100, 0, 3_000_000, 0, 0]
+    # a list of 3,000,000 is in groups of _LIST, every two of which meet in one cell
+    post = np.zeros(50, neardup.POSTING)
+    post["text"] = np.arange(50)
+    monkeypatch.setattr(neardup, "_LIST", 500_000)
+    cells = neardup._spread(post, np.full(50, 3_000_000))
+    of = {t: set(cells["token"][cells["text"] == t].tolist()) for t in range(50)}
+    assert len(cells) == 300 and all(len(x) == 6 for x in of.values()) and all(of[a] & of[b] for a in of for b in of)
 
 
 def test_no_texts(spark):
@@ -89,7 +109,7 @@ def test_no_texts(spark):
 def leak_case():
     r = random.Random(2)
     line = lambda n: [r.choice(WORDS) for _ in range(n)]
-    items = [(k, " ".join(line(n))) for k, n in enumerate([12, 13, 30, 64, 11, 5])] + [(8, None), (9, ""), (None, "x")]
+    items = [(k, " ".join(line(n))) for k, n in enumerate([12, 13, 30, 64, 11, 5])] + [(6, "la " * 14), (7, "go on " * 9 + "stop here now"), (8, None), (9, ""), (None, "x")]
     docs = []
     for k in range(150):
         t = line(r.choice([0, 5, 40, 300]))
@@ -99,18 +119,27 @@ def leak_case():
             at = r.randrange(len(t) + 1)
             t[at:at] = source[a : a + r.choice([11, 12, 13, 40])]
         docs.append((k, (" , " if k % 2 else "\n").join(t).title()))
+    docs += [(400, "say " + "la " * 12), (401, "la " * 11), (402, " ".join(line(50)) + " go on" * 8), (403, " ".join(line(7)) + " On go" * 6)]
     return docs + [(500, None), (501, ""), (None, "x"), (502, " ".join(line(30_000) + items[2][1].split()))], items
 
 
-@pytest.mark.parametrize("local", [2_000_000, 0])
-def test_leaks(spark, local):
+@pytest.mark.parametrize("bits", [32, 1])
+def test_leaks(spark, monkeypatch, bits):
+    monkeypatch.setattr(leakage, "_BITS", bits)  # a bitmap too small lets more through, not less
     docs, items = leak_case()
     runs = lambda t: {tuple(w[k : k + 12]) for w in [re.findall("[a-z0-9]+", (t or "").lower())] for k in range(len(w) - 11)}
     want = {(d, i): (len(runs(t) & runs(x)), len(runs(x))) for d, t in docs for i, x in items if d is not None and i is not None and runs(t) & runs(x)}
-    got = leaked_items(spark.createDataFrame(docs, "doc long, text string"), "doc", "text", spark.createDataFrame(items, "item long, text string"), "item", "text", max_local_keys=local).collect()
+    got = leaked_items(spark.createDataFrame(docs, "doc long, text string"), "doc", "text", spark.createDataFrame(items, "item long, text string"), "item", "text").collect()
     assert {(r.doc, r.item): (r.shared, r.total) for r in got} == want and len(got) == len(want)
 
 
+def test_partitions_by_size():
+    need = leakage.partitions(8, 20, 1.0, 1e-9)
+    assert (need[:8] == 0).all() and need[8] == 1 and (np.diff(need[8:]) >= 0).all()
+    for size in range(9, 21):  # the chance that none of the hash functions agrees
+        assert (1 - 8 / size) ** need[size] <= 1e-9
+
+
 def test_leaks_of_nothing(spark):
     empty = spark.createDataFrame([], "doc long, text string")
     full = spark.createDataFrame([(1, " ".join(WORDS))], "doc long, text string")

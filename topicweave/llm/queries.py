@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from topicweave.llm.enrichment import distinctive_terms
 from topicweave.llm.frequency import term_frequency
 from topicweave.llm.leakage import leaked_items
-from topicweave.llm.mixture import mix_sources, normal_source, token_counts
+from topicweave.llm.mixture import merged_copies, mix_sources, normal_source, token_counts
 from topicweave.llm.names import link_names, variant_pairs
 from topicweave.llm.neardup import duplicate_classes, near_duplicates, similar_pairs
 from topicweave.llm.pairs import item_pairs
@@ -47,10 +47,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.filter(big("n") * big("n_records") >= 5 * big("n_a") * big("n_b")).select("term_a", "term_b")
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+def _similar_papers(spark: SparkSession, folder: str, width: int, least: float) -> tuple[DataFrame, DataFrame]:
     papers = table(spark, folder, "paper_end").filter(F.trim("abstract") != "")
-    text = F.concat_ws(" ", "article_title", "abstract")
-    members, links = near_duplicates(papers, "paper_id", text, width=3, least=0.5)
+    return near_duplicates(papers, "paper_id", F.concat_ws(" ", "article_title", "abstract"), width, least)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    members, links = _similar_papers(spark, folder, width=3, least=0.5)
     return similar_pairs(members, links).select(F.col("a").alias("paper_id_a"), F.col("b").alias("paper_id_b"))
 
 
@@ -65,10 +68,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
-    papers = table(spark, folder, "paper_end")
-    text = F.concat_ws(" ", "article_title", "abstract")
-    members, links = near_duplicates(papers, "paper_id", text, width=5, least=0.8)
-    return duplicate_classes(members, links)
+    """The bounded form of :func:`p4_found`: each paper once, with its class and the number of similar classes."""
+    return duplicate_classes(*_similar_papers(spark, folder, width=3, least=0.5)).select(F.col("doc").alias("paper_id"), "class", "links")
+
+
+def p4_classes_of_five(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for series of five words and a similarity of 0.8."""
+    return duplicate_classes(*_similar_papers(spark, folder, width=5, least=0.8)).select(F.col("doc").alias("paper_id"), "class", "links")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,17 +107,28 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1].filter("short").select("recipe", "source")
 
 
-def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """The shares that the selected documents reach, beside the targets."""
-    selection, report = _mixed(spark, folder)
+def _shares(selection: DataFrame, report: DataFrame) -> DataFrame:
     reached = selection.groupBy("recipe", "source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
-    full = F.sum("target_tokens").over(Window.partitionBy("recipe"))
+    full = F.sum("target_tokens").over(Window.partitionBy("recipe"))  # a recipe has as many rows as sources
+    none = lambda c: F.coalesce(c, F.lit(0))
     return report.join(reached, ["recipe", "source"], "left").select(
-        "recipe", "source", "target_tokens", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / full).alias("share"), (F.col("target_tokens") / full).alias("target_share"),
-        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "short",
+        "recipe", "source", "target_tokens", "available_tokens", none("tokens").alias("tokens"), (none("tokens") / full).alias("share"), (F.col("target_tokens") / full).alias("target_share"),
+        none("documents").alias("documents"), none("most_uses").alias("most_uses"), "short",
     )
 
 
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the selected documents reach, beside the targets."""
+    return _shares(*_mixed(spark, folder))
+
+
+def p8_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the copies of a text as one document that belongs to all its sources: these overlap, and the flow divides what they share."""
+    documents = table(spark, folder, "documents").withColumn("digest", F.sha2("text", 256))
+    merged = stage(merged_copies(token_counts(documents, "doc_id", "text", "source", "digest")))
+    return _shares(*mix_sources(merged, table(spark, folder, "mix_target")))
+
+
 def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[0]
 
@@ -122,12 +139,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    return source_rates(toxicity_scores(documents, table(spark, folder, "doc_labels")), documents)
+    return source_rates(toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "doc_labels"), keep=("source",)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p2_found, p4_found, p4_classes, p5_found, p6_found, p6_entities, p7_found, p7_items, p8_found, p8_shares, p8_selection, p9_found, p9_rates)
+    own = (p1_found, p2_found, p4_found, p4_classes, p4_classes_of_five, p5_found, p6_found, p6_entities, p7_found, p7_items, p8_found, p8_shares, p8_overlap, p8_selection, p9_found, p9_rates)
     return {f.__name__: f for f in own}
 
 
