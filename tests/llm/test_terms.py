@@ -47,8 +47,8 @@ def test_log_gamma():
     assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-10)
 
 
-@pytest.mark.parametrize("local", [1_000_000, 0])
-def test_distinctive_terms(spark, records, local):
+@pytest.mark.parametrize("local,hot", [(1_000_000, 50_000), (0, 50_000), (0, 5), (0, 0)])
+def test_distinctive_terms(spark, records, local, hot):
     docs = {i: collections.Counter(t) for i, t in clean(records).items() if t}
     total, n, df = sum(sum(c.values()) for c in docs.values()), collections.Counter(), collections.Counter()
     for c in docs.values():
@@ -63,7 +63,7 @@ def test_distinctive_terms(spark, records, local):
         for rank in range(len(order), 0, -1):
             q = min(q, ps[order[rank - 1]] * len(order) / rank)
             want[i, order[rank - 1]] = -math.log(q)
-    got = distinctive_terms(made(spark, records), "id", "terms", max_local_terms=local).collect()
+    got = distinctive_terms(made(spark, records), "id", "terms", max_local_terms=local, hot_terms=hot).collect()
     assert len(got) == len(want)
     for r in got:
         assert r.score == pytest.approx(want[r.record, r.term], abs=1e-7)

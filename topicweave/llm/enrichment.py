@@ -156,6 +156,7 @@ def distinctive_terms(
     max_records: int | None = None,
     max_local_terms: int = 1_000_000,
     max_local_bytes: int = 32 << 20,
+    hot_terms: int = 50_000,
 ) -> DataFrame:
     """Score of every distinct term of every record: how far it sets the record apart.
 
@@ -170,8 +171,9 @@ def distinctive_terms(
 
     Corpus counts are added up within each partition before they are shuffled.
     They are then handed to the tasks that score the records, if their measured size is within
-    ``max_local_terms`` and ``max_local_bytes``; a larger vocabulary is joined by
-    term instead.  Both ways give the same rows.
+    ``max_local_terms`` and ``max_local_bytes``.  Of a larger vocabulary only the ``hot_terms`` most frequent terms
+    (of 256 bytes at most each) are handed over, and the rest, none of which fills many rows, is
+    joined by term.  Both ways give the same rows.
 
     Null keys, null or empty arrays and null tokens are left out; an empty
     input gives no row.
@@ -187,8 +189,15 @@ def distinctive_terms(
         table = known.toPandas()
         held = spark.sparkContext.broadcast((table["term"].to_numpy(), table["n"].to_numpy(), table["records"].to_numpy()))
         return rows.mapInArrow(_score_local(held, total, min_count, min_records, max_records), SCORED)
-    joined = rows.mapInArrow(_entries, "record bigint, record_size bigint, term string, n_in_record bigint").join(known, "term")
-    grouped = joined.groupBy("record", "record_size").agg(F.collect_list(F.struct("term", "n_in_record", "n", "records")).alias("terms"))
+    hot = known.filter(F.octet_length("term") <= 256).orderBy(F.desc("n"), "term").limit(hot_terms).toPandas()
+    held = spark.sparkContext.broadcast((hot["term"].to_numpy(), hot["n"].to_numpy(), hot["records"].to_numpy()))
+    entries = rows.mapInArrow(_entries(held), "record bigint, record_size bigint, term string, n_in_record bigint, n_hot bigint, records_hot bigint")
+    # an entry with a hot term has its counts already: its key is its record, which no term is
+    key = F.when(F.col("n_hot").isNull(), F.concat(F.lit("t"), "term")).otherwise(F.concat(F.lit("r"), F.col("record").cast("string")))
+    counts = known.select(F.concat(F.lit("t"), "term").alias("key"), "n", "records")
+    joined = entries.withColumn("key", key).join(counts, "key", "left")
+    entry = F.struct("term", "n_in_record", F.coalesce("n", "n_hot").alias("n"), F.coalesce("records", "records_hot").alias("records"))
+    grouped = joined.groupBy("record", "record_size").agg(F.collect_list(entry).alias("terms"))
     return grouped.mapInArrow(_score_joined(total, min_count, min_records, max_records), SCORED)
 
 
@@ -209,12 +218,23 @@ def _score_local(held, total, min_count, min_records, max_records):
     return score
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
+def _entries(held):
+    """A row for each term of a record, with its corpus counts if the term is a hot one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, n_of, records_of = held.value
+        index = pd.Index(terms)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             record = batch.column(0).to_numpy()
             row, code, count, words, sizes = _counts(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(record[row]), pa.array(sizes[row], pa.int64()), pa.array(words[code], pa.string()), pa.array(count, pa.int64())], ["record", "record_size", "term", "n_in_record"])
+            at = index.get_indexer(words)[code] if len(index) else np.full(len(code), -1)
+            of = lambda values: pa.array(values[at] if len(values) else np.zeros(len(at), np.int64), pa.int64(), mask=at < 0)
+            columns = [pa.array(record[row]), pa.array(sizes[row], pa.int64()), pa.array(words[code], pa.string()), pa.array(count, pa.int64()), of(n_of), of(records_of)]
+            yield pa.RecordBatch.from_arrays(columns, ["record", "record_size", "term", "n_in_record", "n_hot", "records_hot"])
+
+    return run
 
 
 def _score_joined(total, min_count, min_records, max_records):

@@ -1,4 +1,10 @@
-"""Variant spellings of one person or organisation: merge and rematch until nothing merges."""
+"""Variant spellings of one person or organisation: merge and rematch until nothing merges.
+
+A profile looks for the highest profile that it may be.  What may be is a matter of
+a few values: surname, given name, first and middle initial.  So every key of such values keeps its highest
+profile, found by aggregation, and a profile looks up the keys of all values that fit
+its own.  No two profiles of a key are ever paired.
+"""
 
 from __future__ import annotations
 
@@ -30,9 +36,7 @@ ORGANISATION = {"laboratory", "institute", "consortium", "centre", "university",
 SHORT_FORMS = {"lab": "laboratory", "labs": "laboratory", "inst": "institute", "cons": "consortium", "consort": "consortium", "cent": "centre", "ctr": "centre", "center": "centre", "cntr": "centre", "univ": "university", "dept": "department", "assoc": "association", "soc": "society", "acad": "academy", "stud": "studies"}
 FILLERS = {"the", "for", "of", "and", "in", "at"}
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-#: More profiles than this under one key are compared in several cells.
-_BLOCK = 2048
-FORM = "spelling string, kind string, surname string, given string, initials string, words array<string>"
+FORM = "spelling string, n bigint, kind string, surname string, given string, initials string, words array<string>"
 
 
 def _fold(text: str) -> str:
@@ -93,8 +97,8 @@ def parse(spelling: str) -> tuple:
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(s, *parse(s)) for s in batch["spelling"]]
-        yield pd.DataFrame(rows, columns=["spelling", "kind", "surname", "given", "initials", "words"])
+        rows = [(s, n, *parse(s)) for s, n in zip(batch["spelling"], batch["n"])]
+        yield pd.DataFrame(rows, columns=["spelling", "n", "kind", "surname", "given", "initials", "words"])
 
 
 def _initials_of() -> dict[str, str]:
@@ -113,10 +117,30 @@ def _near(a: Column, b: Column) -> Column:
     return (a == b) | ((gap > 0) & (gap <= F.when(F.least(F.length(a), F.length(b)) >= 4, 2).otherwise(1)))
 
 
-def _variants(name: Column) -> Column:
-    """The name and all that it leaves when one letter is lost."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1)))
-    return F.array_distinct(F.concat(F.array(name), F.when(F.length(name) >= 5, cut).otherwise(F.array().cast("array<string>"))))
+def _variants(name: Column, depth: int = 1) -> Column:
+    """The name and all that it leaves when up to ``depth`` letters are lost."""
+    out = F.array(name)
+    for _ in range(depth):
+        cut = F.flatten(F.transform(out, lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))))
+        out = F.array_distinct(F.concat(out, cut))
+    return out
+
+
+def _similar(names: DataFrame, long_from: int, agree) -> DataFrame:
+    """``(a, b)``: names that agree, each with itself; they meet under what they leave when a letter is lost, two of names of ``long_from`` letters or more.
+
+    As many names have a variant in common as there are ways to put the letters back, whatever the number of names.
+    """
+    left = names.select(F.col("name").alias("a"), F.explode(F.when(F.length("name") >= long_from, _variants(F.col("name"), 2)).otherwise(_variants(F.col("name")))).alias("v"))
+    left = stage(left)
+    return left.join(left.withColumnRenamed("a", "b"), "v").filter(agree(F.col("a"), F.col("b"))).select("a", "b").distinct()
+
+
+def _near_surname(a: Column, b: Column) -> Column:
+    """Surnames that agree up to a slip; short ones only if two neighbouring letters changed places."""
+    letters = lambda x: F.array_sort(F.split(x, ""))
+    turned = (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & (letters(a) == letters(b))
+    return (a == b) | ((F.levenshtein(a, b, 2) >= 0) & ((F.least(F.length(a), F.length(b)) >= 5) | turned))
 
 
 def name_forms(papers: DataFrame, authors: str, full_names: str) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +154,9 @@ def name_forms(papers: DataFrame, authors: str, full_names: str) -> tuple[DataFr
     # one pass over the papers; from here on everything is as large as the number of different spellings
     seen = stage(lists.select(F.explode_outer(entries).alias("e")).filter("e is not null").groupBy("e.s", "e.f").agg(F.count("*").alias("n")))
     spellings = seen.select(F.explode(F.array("s", "f")).alias("spelling"), "n").filter("spelling is not null").groupBy("spelling").agg(F.sum("n").alias("n"))
-    parsed = stage(spellings.select("spelling").mapInPandas(_parsed, FORM).join(spellings, "spelling"))
+    # parsing is row work: spread it, however small the spellings are
+    parallel = spellings.sparkSession.sparkContext.defaultParallelism
+    parsed = stage(spellings.repartition(max(parallel, int(spellings.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "spelling").mapInPandas(_parsed, FORM))
     known = parsed.filter("kind = 'p' and given is not null").groupBy(F.col("given").alias("token")).agg(F.sum("n").alias("times"))
     open_ = parsed.filter("kind = 'q'").select("spelling", "n", "words", F.col("words")[0].alias("first"), F.element_at("words", -1).alias("last"), F.col("words")[1].alias("second"))
     nick = F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
@@ -153,30 +179,50 @@ def _profiles(forms: DataFrame, labels: DataFrame) -> DataFrame:
     most = lambda c: F.max_by(c, F.struct(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("n")).otherwise(-1), F.col(c)))
     return forms.join(labels, "form").groupBy("entity").agg(
         F.first("kind").alias("kind"), most("surname").alias("surname"), most("given").alias("given"), F.sum("n").alias("n"),
-        F.max_by("initials", F.struct(F.length("initials"), "n", "initials")).alias("initials"), F.collect_set("surname").alias("surnames"), F.collect_set("given").alias("givens"),
+        F.max_by("initials", F.struct(F.length("initials"), "n", "initials")).alias("initials"),
     )
 
 
-def _keys(profiles: DataFrame) -> DataFrame:
-    first = F.substring(F.coalesce(F.col("given"), F.col("initials")), 1, 1)
-    person = F.flatten(F.array(
-        F.flatten(F.transform("surnames", lambda s: F.transform("givens", lambda g: F.concat_ws("|", F.lit("g"), s, g)))),
-        F.transform("surnames", lambda s: F.concat_ws("|", F.lit("i"), s, first)),
-        F.flatten(F.transform("surnames", lambda s: F.transform(_variants(s), lambda v: F.concat_ws("|", F.lit("v"), v, first)))),
-    ))
-    organisation = F.flatten(F.transform("surnames", lambda s: F.transform(_variants(s), lambda v: F.concat_ws("|", F.lit("o"), v, F.col("given")))))
-    other = F.transform("surnames", lambda s: F.concat_ws("|", F.lit("x"), s))
-    keys = F.when(F.col("kind") == "p", person).when(F.col("kind") == "o", organisation).otherwise(other)
-    return profiles.withColumn("key", F.explode(F.array_distinct(keys)))
+def _key(*parts) -> Column:
+    return F.concat_ws("\u0001", *(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+
+def _letters() -> tuple[Column, Column]:
+    """First and second initial; empty if unknown."""
+    return F.substring(F.coalesce(F.col("given"), F.col("initials")), 1, 1), F.substring("initials", 2, 1)
+
+
+def _stands(profiles: DataFrame) -> DataFrame:
+    """``(key, rank)``: the highest profile under each key; ``*`` stands for any value."""
+    first, middle = _letters()
+    named = F.array(_key("g", F.col("surname"), F.col("given"), middle), _key("g", F.col("surname"), F.col("given"), "*"))
+    person = F.array(_key("i", F.col("surname"), first, middle), _key("i", F.col("surname"), first, "*"), _key("i", F.col("surname"), "*", "*"))
+    person = F.when(F.col("given").isNotNull(), F.concat(named, person)).otherwise(person)
+    other = F.array(_key(F.col("kind"), F.col("surname"), F.coalesce("given", F.lit(""))))
+    keys = F.when(F.col("kind") == "p", person).otherwise(other)
+    return profiles.select(F.explode(keys).alias("key"), _rank().alias("rank")).groupBy("key").agg(F.max("rank").alias("rank"))
+
+
+def _seeks(profiles: DataFrame, surnames: DataFrame, givens: DataFrame) -> DataFrame:
+    """``(entity, rank, key)``: each profile with all keys whose profiles fit it.
+
+    A profile with a given name seeks those with a similar one, for only these stand above it; one without
+    seeks its first initial.  A known middle initial must be the same or unknown on the other side.
+    """
+    first, middle = _letters()
+    rows = profiles.select("entity", _rank().alias("own"), "kind", F.col("surname").alias("a"), "given", first.alias("first"), middle.alias("middle"))
+    with_surname = rows.filter("kind <> 'x'").join(surnames, "a").drop("a").withColumnRenamed("b", "surname").unionByName(rows.filter("kind = 'x'").withColumnRenamed("a", "surname"))
+    person = with_surname.filter("kind = 'p'")
+    middles = F.when(F.col("middle") == "", F.array(F.lit("*"))).otherwise(F.array(F.col("middle"), F.lit("")))
+    named = person.filter("given is not null").join(givens, F.col("given") == F.col("a")).select("entity", "own", F.transform(middles, lambda m: _key("g", F.col("surname"), F.col("b"), m)).alias("keys"))
+    initial = F.concat(F.transform(middles, lambda m: _key("i", F.col("surname"), F.col("first"), m)), F.array(_key("i", F.col("surname"), "", "")))
+    unnamed = person.filter("given is null").select("entity", "own", F.when(F.col("first") == "", F.array(_key("i", F.col("surname"), "*", "*"))).otherwise(initial).alias("keys"))
+    other = with_surname.filter("kind <> 'p'").select("entity", "own", F.array(_key(F.col("kind"), F.col("surname"), F.coalesce("given", F.lit("")))).alias("keys"))
+    return named.unionByName(unnamed).unionByName(other).select("entity", "own", F.explode("keys").alias("key"))
 
 
-def _cells(keyed: DataFrame) -> DataFrame:
-    """The profiles under each key with their group ``g``, once for each cell (x, y) of groups that they are in; a small key is one cell."""
-    size = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    groups = F.ceil(F.col("size") / _BLOCK).cast("int")
-    placed = keyed.join(size, "key").withColumn("groups", groups).withColumn("g", F.pmod(F.xxhash64("entity"), F.col("groups")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda j: F.struct(F.least("g", j).alias("x"), F.greatest("g", j).alias("y")))
-    return placed.withColumn("_c", F.explode(cells)).withColumns({"x": F.col("_c.x"), "y": F.col("_c.y")})
+def _rank() -> Column:
+    return F.struct(F.col("given").isNotNull().alias("named"), F.col("n").alias("n"), F.col("entity").alias("entity"))
 
 
 def _fits(a: str, b: str) -> Column:
@@ -203,15 +249,13 @@ def link_names(papers: DataFrame, authors: str = "authors", full_names: str = "a
     ``full_names``, separated by ``"; "``, exactly as written; null and empty fields have none.
 
     Spellings of equal parsed form start as one profile.  In each round every
-    profile is put under blocking keys (surname with given name, surname with
-    first initial, surname less one letter with first initial; own name
-    with the other words for organisations), and every two profiles under one key are compared.
-    Of the profiles that agree with it in given names and initials and stand above it, a profile picks
-    the highest: those with a given name stand above those without, then the ones with more occurrences.
+    profile looks for those it may be: similar surname; similar given name, or the same first initial where
+    it has none; the same middle initial where both are known (for organisations: similar own name, the
+    same other words).  Of these it picks
+    the highest: profiles with a given name stand above those without, then the ones with more occurrences.
     It merges into that one unless that one itself merges elsewhere in this round.
     Pairs that stand at the same place of a paper's two author fields are matched as well and go first.
-    A merged profile unions spellings, names and initials and enters blocking again, until nothing merges.
-    A key with more than ``_BLOCK`` profiles is compared group against group in several tasks.
+    A merged profile unions spellings, names and initials and enters again, until nothing merges.
 
     An entity's number is that of one of its forms; an empty table gives no row.
     """
@@ -222,20 +266,21 @@ def link_names(papers: DataFrame, authors: str = "authors", full_names: str = "a
     of = stage(forms.join(known.select(*shape, "form"), [forms[c].eqNullSafe(known[c]) for c in shape]).select("spelling", forms["n"].alias("n"), "form"))
     pairs = met.join(of.select(F.col("spelling").alias("s"), F.col("form").alias("form_s")), "s").join(of.select(F.col("spelling").alias("f"), F.col("form").alias("form_f")), "f")
     pairs = stage(pairs.filter("form_s <> form_f").select("form_s", "form_f").distinct())
+    # profiles take their names from these forms, so what is similar is found once
+    surnames = stage(_similar(known.filter("kind <> 'x'").select(F.col("surname").alias("name")).distinct(), 8, _near_surname))
+    givens = stage(_similar(known.filter("kind = 'p' and given is not null").select(F.col("given").alias("name")).distinct(), 4, _near))
     labels = stage(known.select("form", F.col("form").alias("entity")))
     while True:  # every round but the last merges something
         profiles = stage(_profiles(known, labels))
-        side = lambda s, df, *more: df.select(*more, *(F.col(c).alias(f"{s}_{c}") for c in ("entity", "kind", "surname", "given", "initials", "n")))
-        rank = lambda s: F.struct(F.col(f"{s}_given").isNotNull(), F.col(f"{s}_n"), F.col(f"{s}_entity"))
-        keyed = _cells(_keys(profiles))
-        cell = ["key", "x", "y"]
-        met_in = side("a", keyed, *cell, F.col("g").alias("a_g")).join(side("b", keyed, *cell, F.col("g").alias("b_g")), cell)
-        blocked = met_in.filter(((F.col("x") == F.col("y")) | (F.col("a_g") != F.col("b_g"))) & (rank("a") < rank("b"))).withColumn("aligned", F.lit(False))
+        side = lambda s, df: df.select(*(F.col(c).alias(f"{s}_{c}") for c in ("entity", "kind", "surname", "given", "initials", "n")))
+        rank = lambda s: F.struct(F.col(f"{s}_given").isNotNull().alias("named"), F.col(f"{s}_n").alias("n"), F.col(f"{s}_entity").alias("entity"))
+        found = _seeks(profiles, surnames, givens).join(_stands(profiles), "key").filter(F.col("own") < F.col("rank"))
+        found = found.select("entity", F.struct(F.lit(False).alias("aligned"), "rank").alias("by"))
         ends = pairs.join(labels.select(F.col("form").alias("form_s"), F.col("entity").alias("x")), "form_s").join(labels.select(F.col("form").alias("form_f"), F.col("entity").alias("y")), "form_f").filter("x <> y")
-        both = ends.select(F.col("x").alias("a_entity"), F.col("y").alias("b_entity")).union(ends.select(F.col("y").alias("a_entity"), F.col("x").alias("b_entity"))).distinct()
-        aligned = both.join(side("a", profiles), "a_entity").join(side("b", profiles), "b_entity").filter(rank("a") < rank("b")).withColumn("aligned", F.lit(True))
-        fit = lambda df: df.filter(_fits("a", "b")).select("a_entity", "b_entity", F.struct("aligned", rank("b")).alias("by"))
-        chosen = stage(fit(blocked).union(fit(aligned)).groupBy(F.col("a_entity").alias("entity")).agg(F.max_by("b_entity", "by").alias("into")))
+        both = ends.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("_e")).select(F.col("_e.a").alias("a_entity"), F.col("_e.b").alias("b_entity")).distinct()
+        aligned = both.join(side("a", profiles), "a_entity").join(side("b", profiles), "b_entity").filter(rank("a") < rank("b"))
+        aligned = aligned.withColumn("aligned", F.lit(True)).filter(_fits("a", "b")).select(F.col("a_entity").alias("entity"), F.struct(F.lit(True).alias("aligned"), rank("b").alias("rank")).alias("by"))
+        chosen = stage(found.unionByName(aligned).groupBy("entity").agg(F.max("by").alias("by")).select("entity", F.col("by.rank.entity").alias("into")))
         if chosen.isEmpty():
             break
         # what moves itself takes nothing in: else two profiles could meet in one that has left

@@ -27,7 +27,7 @@ from topicweave.plans.stage import discard, stage
 U = np.uint64
 _SLICE = 1 << 16
 #: A posting: token, text, sizes, and the parity of the tokens that follow.
-POSTING = np.dtype([("token", "<u4"), ("text", "<u4"), ("size", "<u2"), ("pos", "<u2"), ("p0", "<u8"), ("p1", "<u8")])
+POSTING = np.dtype([("token", "<u4"), ("text", "<u4"), ("size", "<u2"), ("pos", "<u2"), ("p0", "<u8"), ("p1", "<u4")])
 _DOCS = "doc bigint, h1 bigint, h2 bigint, size int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, slice int, counts binary"
 #: Lists longer than this are spread over cells.
 _LIST = 8192
@@ -189,11 +189,12 @@ def _post(width: int, least: float, sketch, parts: int):
                 if len(seen) > 2_000_000:
                     seen.clear()
                 count = rarity.of(h)
-                order = np.lexsort((h, count, row))
+                # hashes rise within a row already and a stable sort leaves them so
+                order = np.lexsort((np.minimum(count, _CEILING).astype(np.uint16), row))
                 h, count = h[order], count[order]
                 size = sizes[row]
                 pos = np.arange(len(h)) - starts[row]
-                bit = (h >> U(9)) & U(127)
+                bit = ((h >> U(9)) & U(0xFFFF)) * U(96) >> U(16)
                 parity = []
                 for w in range(2):
                     v = np.where(bit >> U(6) == w, U(1) << (bit & U(63)), U(0))

@@ -41,7 +41,7 @@ def _bit_matrix(heavy: int):
 
 
 def _probe(heavy: int):
-    """For each list of a light item, the sum of its records' heavy bits.
+    """For each list of a light item, or part of one, the sum of its records' heavy bits.
 
     Rows are sorted by the light item; the list that is open at the end of a
     batch is carried on, so a list's length doesn't matter.
@@ -87,9 +87,10 @@ def item_pairs(records: DataFrame, key: str, items: str, min_count: int = 2, hea
     Items in fewer than ``min_count`` records can't be part of a result and go
     first.  The ``heavy`` most frequent items (a fixed number) are counted pairwise in a bit
     matrix; pairs of light items are hash-counted; each light item's list of
-    records is probed for heavy ones.  A record with very many items is cut
-    into blocks of about ``block`` light items, and pairs are made between
-    blocks in separate rows, so no task holds a record as a whole.
+    records is probed for heavy ones.  Lists are range-partitioned by item and record, so a
+    long one is spread over tasks that each give a part of its counts.  A record with very many items is cut
+    into blocks of about ``block`` light items, and two blocks meet under a key of
+    their own, so no task holds a record as a whole.
 
     Null keys, null or empty arrays and null items are left out; an empty input
     gives no row.
@@ -124,19 +125,21 @@ def item_pairs(records: DataFrame, key: str, items: str, min_count: int = 2, hea
     dense = baskets.filter("block = 0 and size(hs) > 1").select("hs").mapInArrow(_bit_matrix(heavy), PAIR)
     probed = (
         baskets.filter("size(hs) > 0 and size(ls) > 0")
-        .select(F.explode("ls").alias("l"), "hs")
-        .repartition("l")
+        .select(F.explode("ls").alias("l"), "hs", F.xxhash64("record", "block").alias("r"))
+        .repartitionByRange("l", "r")
         .sortWithinPartitions("l")
+        .select("l", "hs")
         .mapInArrow(_probe(heavy), PAIR)
     )
     one = baskets.filter("size(ls) > 1").select(F.explode("ls").alias("a"), "ls").select("a", F.explode(F.filter("ls", lambda x: x > F.col("a"))).alias("b"))
-    wide = baskets.filter("blocks > 1 and size(ls) > 0").select("record", "block", "ls")
-    other = wide.select("record", F.col("block").alias("block2"), F.col("ls").alias("ls2"))
-    across = wide.join(other, "record").filter("block < block2").select(F.explode("ls").alias("x"), "ls2").select("x", F.explode("ls2").alias("y"))
+    wide = baskets.filter("blocks > 1 and size(ls) > 0")
+    later = wide.filter("block < blocks - 1").select("record", F.col("block").alias("p"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("q"), "ls")
+    earlier = wide.filter("block > 0").select("record", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("p"), F.col("block").alias("q"), F.col("ls").alias("ls2"))
+    across = later.join(earlier, ["record", "p", "q"]).select(F.explode("ls").alias("x"), "ls2").select("x", F.explode("ls2").alias("y"))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    hashed = one.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("n"))
-    # each pair comes from exactly one of the three ways; only partial counts are added
-    pairs = dense.groupBy("a", "b").agg(F.sum("n").alias("n")).unionByName(probed).unionByName(hashed).filter(F.col("n") >= min_count)
+    hashed = one.unionByName(across).withColumn("n", F.lit(1).cast("bigint"))
+    # each pair comes from exactly one of the three ways; the parts of its count are added
+    pairs = dense.unionByName(probed).unionByName(hashed).groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
     left = known.select(F.col("id").alias("a"), F.col("item").alias("item_1"), F.col("n").alias("n_1"))
     right = known.select(F.col("id").alias("b"), F.col("item").alias("item_2"), F.col("n").alias("n_2"))
     first = F.col("item_1") < F.col("item_2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,25 @@ def _keyword_records(spark: SparkSession, folder: str) -> DataFrame:
     return terms.groupBy("paper_id").agg(F.flatten(F.collect_list("terms")).alias("terms"))
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+def _term_records(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     words = table(spark, folder, "paper_end").select("paper_id", F.regexp_extract_all(F.lower("abstract"), F.lit("[a-z]+"), F.lit(0)).alias("terms"))
+    return {"keyword_plus": _keyword_records(spark, folder), "abstract": words}
+
+
+def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The terms that set a record apart at a false-discovery rate of 5 percent, with their scores."""
+    out = None
+    for field, records in _term_records(spark, folder).items():
+        scored = distinctive_terms(records, "paper_id", "terms").filter(F.col("score") >= -math.log(0.05))
+        part = scored.select(F.lit(field).alias("field"), F.col("record").alias("paper_id"), "term", "n_in_record", "record_size", "n", F.round("neg_log_p", 4).alias("neg_log_p"), F.round("score", 4).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     out = None
-    for field, records, least in (("keyword_plus", _keyword_records(spark, folder), 1), ("abstract", words, 3)):
-        scored = distinctive_terms(records, "paper_id", "terms", min_count=least, min_records=2, max_records=12)
+    for field, records in _term_records(spark, folder).items():
+        scored = distinctive_terms(records, "paper_id", "terms", min_count=3 if field == "abstract" else 1, min_records=2, max_records=12)
         part = scored.select(F.lit(field).alias("field"), F.col("record").alias("paper_id"), "term")
         out = part if out is None else out.unionByName(part)
     return out
@@ -57,16 +72,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(members, links).select(F.col("a").alias("paper_id_a"), F.col("b").alias("paper_id_b"))
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every term with its count, the number of papers that hold it, and its mark."""
     authors = record_terms(table(spark, folder, "paper_end"), "paper_id", "author_keywords")
     out = None
     for field, records in (("author_keywords", authors), ("keyword_plus", _keyword_records(spark, folder))):
-        marked = term_frequency(records, "paper_id", "terms", rare_below=3, common_above=0.05).filter("mark <> 'useful'")
-        part = marked.select(F.lit(field).alias("field"), "term", "mark")
+        part = term_frequency(records, "paper_id", "terms", rare_below=3, common_above=0.05).select(F.lit(field).alias("field"), "term", "n", "records", "mark")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_terms(spark, folder).filter("mark <> 'useful'").select("field", "term", "mark")
+
+
 def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
     """The bounded form of :func:`p4_found`: each paper once, with its class and the number of similar classes."""
     return duplicate_classes(*_similar_papers(spark, folder, width=3, least=0.5)).select(F.col("doc").alias("paper_id"), "class", "links")
@@ -143,7 +162,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p2_found, p4_found, p4_classes, p4_classes_of_five, p5_found, p6_found, p6_entities, p7_found, p7_items, p8_found, p8_shares, p8_overlap, p8_selection, p9_found, p9_rates)
+    own = (p1_found, p1_scores, p2_found, p4_found, p4_classes, p4_classes_of_five, p5_found, p5_terms, p6_found, p6_entities, p7_found, p7_items, p8_found, p8_shares, p8_overlap, p8_selection, p9_found, p9_rates)
     return {f.__name__: f for f in own}
 
 
@@ -154,6 +173,14 @@ P1 = rf"""WITH {RECORDS}, w AS (SELECT paper_id, unnest(regexp_extract_all(lower
 SELECT 'keyword_plus' AS field, paper_id, term FROM k JOIN kd USING (term) WHERE d BETWEEN 2 AND 12
 UNION ALL SELECT 'abstract', paper_id, term FROM wc JOIN wd USING (term) WHERE n >= 3 AND d BETWEEN 2 AND 12"""
 
+P1_SCORES = rf"""WITH {RECORDS}, e AS (SELECT 'keyword_plus' AS field, paper_id, term FROM terms UNION ALL SELECT 'abstract', paper_id, unnest(regexp_extract_all(lower(abstract), '[a-z]+')) FROM paper_end),
+ c AS (SELECT field, paper_id, term, count(*) AS k FROM e GROUP BY ALL), s AS (SELECT *, sum(k) OVER (PARTITION BY field, paper_id) AS d, sum(k) OVER (PARTITION BY field, term) AS m, sum(k) OVER (PARTITION BY field) AS t FROM c),
+ p AS (SELECT *, ln(list_sum(list_transform(range(k, CAST(least(m, d) AS BIGINT) + 1), lambda x: exp(lgamma(m + 1) - lgamma(x + 1) - lgamma(m - x + 1)
+   + CASE WHEN t - m < d - x THEN -1e9 ELSE lgamma(t - m + 1) - lgamma(d - x + 1) - lgamma(greatest(t - m - d + x, 0) + 1) END - lgamma(t + 1) + lgamma(d + 1) + lgamma(t - d + 1))))) AS lp FROM s),
+ r AS (SELECT *, lp + ln(count(*) OVER w / row_number() OVER (PARTITION BY field, paper_id ORDER BY lp, term)) AS lq FROM p WINDOW w AS (PARTITION BY field, paper_id)),
+ q AS (SELECT *, -least(0, min(lq) OVER (PARTITION BY field, paper_id ORDER BY lp, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS score FROM r)
+SELECT field, paper_id, term, k AS n_in_record, CAST(d AS BIGINT) AS record_size, CAST(m AS BIGINT) AS n, round(-least(lp, 0), 4) AS neg_log_p, round(score, 4) AS score FROM q WHERE score >= -ln(0.05)"""
+
 P2 = f"""WITH {RECORDS}, r AS (SELECT count(DISTINCT paper_id) AS r FROM k), p AS (SELECT a.term AS term_a, b.term AS term_b, count(*) AS n FROM k a JOIN k b ON a.paper_id = b.paper_id AND a.term < b.term GROUP BY ALL)
 SELECT term_a, term_b FROM p JOIN kd x ON x.term = term_a JOIN kd y ON y.term = term_b, r WHERE n >= 5 AND n * r >= 5 * x.d * y.d"""
 
@@ -162,20 +189,37 @@ P4 = r"""WITH d AS (SELECT paper_id, regexp_extract_all(lower(coalesce(article_t
  s AS (SELECT paper_id, count(*) AS n FROM t GROUP BY paper_id), p AS (SELECT a.paper_id AS a, b.paper_id AS b, count(*) AS o FROM t a JOIN t b ON a.g = b.g AND a.paper_id < b.paper_id GROUP BY ALL)
 SELECT a AS paper_id_a, b AS paper_id_b FROM p JOIN s x ON x.paper_id = a JOIN s y ON y.paper_id = b WHERE 2 * o >= x.n + y.n - o"""
 
+P4_CLASSES = r"""WITH d AS (SELECT paper_id, regexp_extract_all(lower(coalesce(article_title || ' ', '') || abstract), '[a-z0-9]+') AS w FROM paper_end WHERE trim(abstract) <> ''),
+ t AS (SELECT DISTINCT paper_id, unnest(list_transform(range(1, len(w) - SIZE + 2), lambda i: array_to_string(w[i:i + SIZE - 1], ' '))) AS g FROM d), f AS (SELECT paper_id, list_sort(list(g)) AS g FROM t GROUP BY 1),
+ m AS (SELECT paper_id, min(paper_id) OVER (PARTITION BY g) AS class FROM f), r AS (SELECT t.* FROM t JOIN m USING (paper_id) WHERE paper_id = class), s AS (SELECT paper_id, count(*) AS n FROM r GROUP BY 1),
+ p AS (SELECT a.paper_id AS a, b.paper_id AS b, count(*) AS o FROM r a JOIN r b ON a.g = b.g AND a.paper_id <> b.paper_id GROUP BY ALL), l AS (SELECT a, count(*) AS links FROM p JOIN s x ON x.paper_id = a JOIN s y ON y.paper_id = b WHERE LEAST GROUP BY a)
+SELECT paper_id, coalesce(class, paper_id) AS class, coalesce(links, 0) AS links FROM d LEFT JOIN m USING (paper_id) LEFT JOIN l ON a = coalesce(class, paper_id)"""
+
 P5 = rf"""WITH {RECORDS}, {packed_sql("ak", "paper_end", "author_keywords")},
  an AS (SELECT DISTINCT paper_id, trim(regexp_replace(regexp_replace(lower(item), '[_-]', ' ', 'g'), '\s+', ' ', 'g')) AS term FROM ak),
  b AS (SELECT 'keyword_plus' AS field, paper_id, term FROM k UNION ALL SELECT 'author_keywords', paper_id, term FROM an WHERE term <> ''),
  r AS (SELECT field, count(DISTINCT paper_id) AS r FROM b GROUP BY field), c AS (SELECT field, term, count(*) AS n FROM b GROUP BY ALL)
 SELECT field, term, CASE WHEN n < 3 THEN 'rare' ELSE 'common' END AS mark FROM c JOIN r USING (field) WHERE n < 3 OR n > 0.05 * r"""
 
+P5_TERMS = P5.partition(",\n an AS")[0] + r""", an AS (SELECT paper_id, trim(regexp_replace(regexp_replace(lower(item), '[_-]', ' ', 'g'), '\s+', ' ', 'g')) AS term FROM ak),
+ b AS (SELECT 'keyword_plus' AS field, paper_id, term FROM terms UNION ALL SELECT 'author_keywords', paper_id, term FROM an WHERE term <> ''),
+ r AS (SELECT field, count(DISTINCT paper_id) AS r FROM b GROUP BY field), c AS (SELECT field, term, count(*) AS n, count(DISTINCT paper_id) AS records FROM b GROUP BY ALL)
+SELECT field, term, n, records, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.05 * r THEN 'common' ELSE 'useful' END AS mark FROM c JOIN r USING (field)"""
+
 _GRAMS = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))"
 P7 = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
  dg AS (SELECT doc_id, {_GRAMS} AS g FROM d WHERE len(w) > 11), ig AS (SELECT item_id, {_GRAMS} AS g FROM i WHERE len(w) > 11) SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 
+P7_ITEMS = P7.partition(" SELECT DISTINCT doc_id, item_id")[0] + """, a AS (SELECT DISTINCT * FROM dg), b AS (SELECT DISTINCT * FROM ig), n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1), h AS (SELECT doc_id, item_id, count(*) AS s FROM a JOIN b USING (g) GROUP BY ALL)
+ SELECT item_id, count(*) AS documents, max(s / n) AS containment FROM h JOIN n USING (item_id) GROUP BY item_id"""
+
 # sizes in words and marks: the rows are the same for any tokenizer
 P8 = r"""WITH d AS (SELECT nullif(lower(trim(source)), '') AS s, len(regexp_extract_all(coalesce(text, ''), '\w+|[^\w\s]')) AS n FROM documents), t AS (SELECT sum(n) AS total FROM d), c AS (SELECT s, sum(n) AS n FROM d GROUP BY s)
 SELECT recipe, m.source FROM mix_target m CROSS JOIN t LEFT JOIN c ON c.s = lower(trim(m.source)) WHERE coalesce(c.n, 0) * max_repeat < weight * budget_share * total"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p8_found": P8}
+    classes = {"p4_classes": ("3", "3 * o >= x.n + y.n"), "p4_classes_of_five": ("5", "9 * o >= 4 * (x.n + y.n)")}
+    return {"p1_found": P1, "p1_scores": P1_SCORES, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p5_terms": P5_TERMS, "p7_found": P7, "p7_items": P7_ITEMS, "p8_found": P8} | {
+        k: P4_CLASSES.replace("SIZE", size).replace("LEAST", least) for k, (size, least) in classes.items()
+    }

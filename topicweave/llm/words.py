@@ -104,7 +104,7 @@ _SLICE = 1 << 16
 
 
 def _bit(ids: np.ndarray, bits: int, probe: int) -> np.ndarray:
-    return (mix(ids.view(U) + U(probe) * _BASE) >> U(64 - bits)).astype(np.int64)
+    return (mix(ids.view(U) + U(probe * int(_BASE) % (1 << 64))) >> U(64 - bits)).astype(np.int64)
 
 
 def _marks(bits: int, probes: int):
