@@ -127,7 +127,7 @@ def _variants(name: Column, depth: int = 1) -> Column:
 
 
 def _similar(names: DataFrame, long_from: int, agree) -> DataFrame:
-    """``(a, b)``: names that agree, each with itself; they meet under what they leave when a letter is lost, two of names of ``long_from`` letters or more.
+    """``(a, b)``: names that agree, each with itself; they meet under what they leave when a letter is lost, or two of names of ``long_from`` letters or more.
 
     As many names have a variant in common as there are ways to put the letters back, whatever the number of names.
     """
@@ -267,7 +267,8 @@ def link_names(papers: DataFrame, authors: str = "authors", full_names: str = "a
     pairs = met.join(of.select(F.col("spelling").alias("s"), F.col("form").alias("form_s")), "s").join(of.select(F.col("spelling").alias("f"), F.col("form").alias("form_f")), "f")
     pairs = stage(pairs.filter("form_s <> form_f").select("form_s", "form_f").distinct())
     # profiles take their names from these forms, so what is similar is found once
-    surnames = stage(_similar(known.filter("kind <> 'x'").select(F.col("surname").alias("name")).distinct(), 8, _near_surname))
+    # two letters lost would bring together different surnames
+    surnames = stage(_similar(known.filter("kind <> 'x'").select(F.col("surname").alias("name")).distinct(), 1 << 20, _near_surname))
     givens = stage(_similar(known.filter("kind = 'p' and given is not null").select(F.col("given").alias("name")).distinct(), 4, _near))
     labels = stage(known.select("form", F.col("form").alias("entity")))
     while True:  # every round but the last merges something
