@@ -437,9 +437,9 @@ def near_duplicates(texts: DataFrame, key: str, text: str | Column, width: int =
     sketch.close()
     discard(first)  # classes, members and sketch hold all that is needed of it
     total = classes.agg(F.sum("size")).first()[0] or 0
-    # each text of a long list is in as many cells as the list has groups
+    # each text of a long list is in as many cells as the list has groups; but most long lists are in few prefixes
     copies = int((sketch.low[sketch.low > _LIST].astype(np.int64) ** 2 // _LIST).sum() + (sketch.counts**2 // _LIST).sum())
-    parts = max(12, math.ceil((total + copies) * (1 - least) / _TASK))
+    parts = max(12, math.ceil((total + min(copies, 3 * total)) * (1 - least) / _TASK))
     held = spark.sparkContext.broadcast(sketch)
     postings = rows.select("text").mapInArrow(_post(width, least, held, parts), "part int, postings binary")
     # the part is the number of the partition: one part to a task
