@@ -54,7 +54,7 @@ def test_cuts_and_edge_components(case):
 
 
 @settings(max_examples=40, deadline=None)
-@given(random_graph, st.sampled_from(["louvain", "cnm", "gn", "fluid", "slpa"]))
+@given(random_graph, st.sampled_from([n for n in kernels.PARTS if n not in ("bigclam",)]))
 def test_communities_cover_all_nodes(case, name):
     n, edges = case
     nodes = max(pieces(n, edges), key=len)
@@ -62,7 +62,7 @@ def test_communities_cover_all_nodes(case, name):
     g = adjacency(len(nodes), {(at[a], at[b]) for a, b in edges if a in at})
     parts = kernels.parts_of(name)(g)
     assert {v for p in parts for v in p} == set(range(len(nodes)))
-    if name != "slpa":
+    if name not in ("k_clique", "bicomponents"):
         assert sum(map(len, parts)) == len(nodes)
 
 
@@ -85,10 +85,92 @@ def test_contraction_prefers_direct_and_keyword_free_paths():
     assert kernels.contract_to(adjacency(3, {(0, 1), (1, 2)}), [0, 1, 2]) == [(0, 1, 1.0), (1, 2, 1.0)]
 
 
-def test_contracted_partition():
-    edges = {(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (2, 4), (4, 5)}
-    out = kernels.contracted_louvain([str(i) for i in range(6)], adjacency(6, edges))
-    assert sorted(v for v, _ in out) == list("012345")
+def rings(count, size):
+    """Rings side by side."""
+    return [(f"r{k}n{i:02}", f"r{k}n{(i + 1) % size:02}") for k in range(count) for i in range(size)]
+
+
+def test_modularity_is_that_of_the_whole_graph(spark):
+    df = frame(spark, rings(6, 12))
+    for name in ("louvain", "cnm"):
+        found = kernels.communities(df, name).collect()
+        # alone a ring falls into three, beside five others it is one community
+        assert len({r.comm for r in found}) == 6 and len(found) == 72
+    assert len(kernels.louvain(adjacency(12, {(i, (i + 1) % 12) for i in range(12)}))) == 3
+
+
+def test_only_the_first_component_to_come_apart_is_split(spark):
+    df = frame(spark, [("a", "b"), ("b", "c"), ("p", "q"), ("q", "r"), ("r", "s"), ("s", "t")])
+    found = {}
+    for r in kernels.communities(df, "gn").collect():
+        found.setdefault(r.comm, set()).add(r.node)
+    assert sorted(map(sorted, found.values())) == [["a", "b", "c"], ["p", "q"], ["r", "s", "t"]] or sorted(map(sorted, found.values())) == [["a", "b", "c"], ["p", "q", "r"], ["s", "t"]]
+
+
+def test_every_name_of_the_dispatcher(spark):
+    df = frame(spark, list(itertools.combinations("abcd", 2)) + [("d", "e"), ("e", "f"), ("x", "y")])
+    nodes = set("abcdefxy")
+    for name in kernels.PARTS:
+        found = kernels.communities(df, name).collect()
+        assert {r.node for r in found} == nodes, name
+    core = {r.node: r.comm for r in kernels.communities(df, "k_core").collect()}
+    assert {v for v, c in core.items() if c == "core"} == set("abcd") and core["e"] == core["f"] != core["x"] == core["y"]
+    with pytest.raises(ValueError):
+        kernels.communities(df, "no such")
+
+
+def test_core_and_rest_of_one_graph():
+    g = adjacency(6, {(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (4, 5)})
+    assert kernels.core_and_rest(g) == [[0, 1, 2], [3, 4, 5]]
+    assert kernels.cliques_of_three(g) == [[0, 1, 2], [3, 4, 5]]
+    assert kernels.colour_labels(adjacency(6, {(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)})) == [[0, 1, 2], [3, 4, 5]]
+
+
+@pytest.mark.parametrize("first,second", [("louvain", "louvain"), ("k_core", "lpa"), ("islpa", "cnm"), ("k_clique", "slpa")])
+def test_contracted_partition(spark, first, second):
+    edges = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (2, 4), (4, 5), (7, 8)]
+    parts = kernels.contracted_parts(frame(spark, [(str(a), str(b)) for a, b in edges]), first, second)
+    found = [(r.node, r.comm) for r in parts["communities"].collect()]
+    assert sorted(v for v, _ in found) == list("01234578")
+    if first == "louvain":
+        assert {r.node for r in parts["cut_nodes"].collect()} >= {"4"}
+    assert all(c == min(v for v, d in found if d == c) for _, c in found)
+
+
+def test_largest_block_of_the_whole_graph_is_divided(spark):
+    df = frame(spark, rings(1, 12) + list(itertools.combinations(["x1", "x2", "x3"], 2)))
+    parts = kernels.contracted_parts(df)
+    supers = {}
+    for r in parts["supers"].collect():
+        supers.setdefault(r["super"], set()).add(r.node)
+    assert {"x1", "x2", "x3"} in supers.values() and len(supers) > 2
+
+
+def test_what_is_left_without_some_nodes(spark):
+    df = frame(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")])
+    gone = spark.createDataFrame([(0, "b"), (0, "x"), (0, "none")], "graph_id int, node string")
+    assert {r.node: r.comp for r in graphs.eliminate(df, gone).collect()} == {"a": "a", "c": "c", "d": "c", "y": "y"}
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_pairs_two_steps_apart(spark, rows, block):
+    edges = [("hub", f"n{i}") for i in range(7)] + [("n0", "n1"), ("n6", "z")]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    want = sorted((a, b) for a in near for b in near if a < b and near[a] & near[b])
+    assert rows(graphs.two_step_pairs(frame(spark, edges), block), "a", "b") == want
+
+
+def test_core_of_a_long_path(spark, rows):
+    df = frame(spark, [(f"{i:02}", f"{i + 1:02}") for i in range(24)])
+    assert set(rows(graphs.k_core(df), "core")) == {(1,)}
+
+
+def test_modularity(spark):
+    df = frame(spark, list(itertools.combinations("abc", 2)) + list(itertools.combinations("xyz", 2)))
+    members = spark.createDataFrame([(0, v, "1" if v in "abc" else "2") for v in "abcxyz"], "graph_id int, node string, comm string")
+    assert graphs.modularity(df, members).first().modularity == pytest.approx(0.5)
 
 
 @pytest.mark.parametrize("edges,want", [([("a", "b"), ("c", "d"), ("b", "e")], {"a": "a", "b": "a", "e": "a", "c": "c", "d": "c"}), ([(f"{i:03}", f"{i + 1:03}") for i in range(40)], {f"{i:03}": "000" for i in range(41)})])

@@ -19,10 +19,10 @@ def spaced(word: Column) -> Column:
     return F.replace(word, F.lit("_"), F.lit(" "))
 
 
-def phrase(words: Column) -> Column:
-    """Words of a keyword as one ``_``-joined phrase of lower-cased shaped tokens; null if none is left."""
+def phrase(words: Column, lemmas: bool = False) -> Column:
+    """Words of a keyword as one ``_``-joined phrase of lower-cased shaped tokens, in the singular with ``lemmas``; null if none is left."""
     kept = F.filter(F.split(F.lower(words), r"[\s_]+"), word_shape)
-    return F.when(F.size(kept) > 0, F.array_join(kept, "_"))
+    return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lemma) if lemmas else kept, "_"))
 
 
 def lemma(word: Column) -> Column:
@@ -43,10 +43,15 @@ def sentences(joined: Column) -> Column:
 
 
 def merge_phrases(text: Column, phrases: Column) -> Column:
-    """Word pairs of ``phrases`` in ``text`` joined by ``_``: longest first, at word bounds, ignoring case."""
+    """Phrases of ``_``-joined words in ``text`` joined likewise: longest first, ignoring case, where no letter, digit or ``_`` stands next to them.  Marks in a phrase stand for themselves."""
     ordered = F.array_sort(phrases, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    join = lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?i)\b"), F.replace(p, F.lit("_"), F.lit(" ")), F.lit(r"\b")), p)
-    return F.aggregate(ordered, text, join)
+    literal = lambda x: F.concat(F.lit(r"\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    plain = lambda x: F.regexp_replace(x, r"([\\$])", r"\\$1")  # in the replacement these have a meaning
+    join = lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), literal(F.replace(p, F.lit("_"), F.lit(" "))), F.lit(r"(?![\p{L}\p{N}_])")), plain(p))
+    # a phrase that isn't in the text needs no pattern
+    low = F.lower(text)
+    there = F.filter(ordered, lambda p: F.contains(p, F.lit("_")) & F.contains(low, F.lower(F.replace(p, F.lit("_"), F.lit(" ")))))
+    return F.aggregate(there, text, join)
 
 
 def abbreviation_parts(term: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from topicweave.functions.text import sentences
+from topicweave.operators.groups import with_stats
 
 
 def token_rows(papers: DataFrame, key: str = "paper_id", column: str = "title_abstract") -> DataFrame:
@@ -48,8 +49,8 @@ def skip_grams(tokens: DataFrame, keys: list[str], size: int) -> DataFrame:
 
 def kept_by_subsampling(counts: DataFrame, threshold: float = 1e-4) -> DataFrame:
     """Adds ``keep``: the probability ``min(1, sqrt(threshold / share))`` of keeping an occurrence of a word."""
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return counts.withColumn("keep", F.least(F.lit(1.0), F.sqrt(threshold / share)))
+    share = F.col("n") / F.col("_all")
+    return with_stats(counts, [], _all=F.sum("n")).withColumn("keep", F.least(F.lit(1.0), F.sqrt(threshold / share))).drop("_all")
 
 
 def ranked_phrases(papers: DataFrame, key: str, column: str, most: int = 3) -> DataFrame:
@@ -68,11 +69,42 @@ def ranked_phrases(papers: DataFrame, key: str, column: str, most: int = 3) -> D
 def negative_weights(counts: DataFrame, power: float = 0.75) -> DataFrame:
     """Adds ``weight``: the share of a word among draws of negative samples, counts to the ``power``."""
     p = F.pow("n", F.lit(power))
-    return counts.withColumn("weight", p / F.sum(p).over(Window.partitionBy(F.lit(0))))
+    return with_stats(counts, [], _all=F.sum(p)).withColumn("weight", p / F.col("_all")).drop("_all")
 
 
 def sentence_lengths(tokens: DataFrame, key: str = "paper_id", seed: int = 3) -> DataFrame:
     """``(key, sent, before, after)``: tokens of each sentence before and after sub-sampling; draws come from hashes of the place, so they repeat."""
     keep = kept_by_subsampling(tokens.groupBy("token").agg(F.count("*").alias("n"))).select("token", "keep")
-    draw = F.pmod(F.xxhash64(key, "sent", "pos", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    draw = hash_share(*(F.col(c).cast("string") for c in (key, "sent", "pos")), F.lit(str(seed)))
     return tokens.join(keep, "token").groupBy(key, "sent").agg(F.count("*").alias("before"), F.count_if(draw < F.col("keep")).alias("after"))
+
+
+def negative_draws(pairs: DataFrame, weights: DataFrame, times: int = 2, seed: int = 9) -> DataFrame:
+    """``(centre, context, turn, negative)``: words drawn by ``weight`` for each pair, ``times`` each.
+
+    A draw is a number in 0..1 from a hash of pair and turn, so it repeats.  The words lie on that line by hash bucket and name; their
+    ends are sums over the buckets, then within one.  Draws and words meet in one of 4,096 slices of the line.
+    """
+    share = with_stats(weights.select("token", "weight"), [], _all=F.sum("weight")).select("token", (F.col("weight") / F.col("_all")).alias("p"), F.substring(F.md5("token"), 1, 2).alias("_b"))
+    sums = share.groupBy("_b").agg(F.sum("p").alias("_s"))  # 256 rows at most
+    base = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_base"))
+    upto = F.sum("p").over(Window.partitionBy("_b").orderBy("token").rowsBetween(Window.unboundedPreceding, 0))
+    line = share.withColumn("_upto", upto).join(F.broadcast(base), "_b").select("token", (F.col("_base") + F.col("_upto") - F.col("p")).alias("lo"), (F.col("_base") + F.col("_upto")).alias("hi"))
+    at = lambda c: F.least(F.floor(c * 4096), F.lit(4095)).cast("int")
+    line = line.select("token", "lo", "hi", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))).alias("_slice"))
+    turns = pairs.select("centre", "context", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("turn"))
+    drawn = turns.withColumn("_u", hash_share("centre", "context", F.col("turn").cast("string"), F.lit(str(seed))))
+    met = drawn.withColumn("_slice", at(F.col("_u"))).join(line, "_slice").filter("_u >= lo and _u < hi")
+    return met.select("centre", "context", "turn", F.col("token").alias("negative"))
+
+
+def hash_share(*parts) -> Column:
+    """A number in 0..1, the same whenever the parts are."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def long_lengths(lengths: DataFrame, most: int = 40, key: str = "paper_id") -> DataFrame:
+    """``(place, kind, tokens)``: lengths before and after sub-sampling of the first ``most`` sentences, one row each; a report."""
+    first = lengths.orderBy(key, "sent").limit(most).withColumn("place", F.row_number().over(Window.orderBy(key, "sent")))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("tokens")) for k in ("before", "after")))
+    return first.select("place", F.explode(kinds).alias("_k")).select("place", "_k.kind", "_k.tokens")

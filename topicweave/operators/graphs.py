@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from topicweave.operators.groups import with_stats
 from topicweave.plans.stage import stage
 
 
@@ -39,8 +40,8 @@ def degrees(edges: DataFrame) -> DataFrame:
     """``(graph_id, node, degree, weighted, centrality)``; a loop counts twice, a single node has centrality 1."""
     ends = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node"), "weight")
     out = ends.groupBy("graph_id", "node").agg(F.count("*").alias("degree"), F.sum("weight").alias("weighted"))
-    n = F.count("*").over(Window.partitionBy("graph_id"))
-    return out.withColumn("centrality", F.when(n > 1, F.col("degree") / (n - 1)).otherwise(F.lit(1.0)))
+    n = F.col("_n")
+    return with_stats(out, ["graph_id"], _n=F.count("*")).withColumn("centrality", F.when(n > 1, F.col("degree") / (n - 1)).otherwise(F.lit(1.0))).drop("_n")
 
 
 def core_words(members: DataFrame, scores: DataFrame, score: str, least: float, strict: bool = True) -> DataFrame:
@@ -111,15 +112,16 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return all_nodes.distinct().join(roots, ["graph_id", "node"], "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def k_core(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def k_core(edges: DataFrame) -> DataFrame:
     """``(graph_id, node, core)``: the largest k for which the node is in the k-core.  Loops don't count.
 
     Starts from the degrees; in each round a node takes the largest h such that h of its
-    neighbours have h or more.  The values only fall, and where they stop are the core numbers.
+    neighbours have h or more.  The values only fall, and where they stop are the core numbers; the rounds
+    go on until then, half as many as a bare path has nodes in the worst case.
     """
     near = stage(symmetric(edges.filter("src <> dst")).select("graph_id", "node", "other").distinct())
     core = stage(near.groupBy("graph_id", "node").agg(F.count("*").cast("int").alias("core")))
-    for _ in range(most_rounds):
+    while True:
         seen = near.join(core.select("graph_id", F.col("node").alias("other"), F.col("core").alias("c")), ["graph_id", "other"])
         # counts by value first: a hub's list is as long as its number of different values
         counts = seen.groupBy("graph_id", "node", "c").agg(F.count("*").alias("n"))
@@ -128,8 +130,43 @@ def k_core(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         new = stage(core.join(h, ["graph_id", "node"]).select("graph_id", "node", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("moved")))
         core = new.select("graph_id", "node", "core")
         if new.filter("moved").isEmpty():
-            break
-    return core
+            return core
+
+
+def main_core(edges: DataFrame) -> DataFrame:
+    """``(graph_id, node, comm)``: the core of the largest k as one community, then the connected components of the rest."""
+    core = with_stats(k_core(edges), ["graph_id"], _top=F.max("core"))
+    inner = stage(core.filter("core = _top").select("graph_id", "node"))
+    rest = components(without_nodes(edges, inner), nodes_of(edges).join(inner, ["graph_id", "node"], "left_anti"))
+    return inner.withColumn("comm", F.lit("core")).unionByName(rest.select("graph_id", "node", F.concat(F.lit("rest:"), "comp").alias("comm")))
+
+
+def nodes_of(edges: DataFrame) -> DataFrame:
+    """``(graph_id, node)``, each once."""
+    return edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def eliminate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(graph_id, node, comp)``: the connected components left without some nodes; a node that loses all its neighbours stays as one of its own."""
+    gone = nodes.select("graph_id", "node").distinct()
+    return components(without_nodes(edges, gone), nodes_of(edges).join(gone, ["graph_id", "node"], "left_anti"))
+
+
+def two_step_pairs(edges: DataFrame, block: int = 1024) -> DataFrame:
+    """``(graph_id, a, b)``, a < b: nodes with a neighbour in common, each pair once.
+
+    The neighbours of a hub are cut into blocks of about ``block``, and two blocks meet under a key of their own,
+    so that no task pairs them all.
+    """
+    near = symmetric(edges.filter("src <> dst")).select("graph_id", F.col("node").alias("hub"), F.col("other").alias("node")).distinct()
+    size = near.groupBy("graph_id", "hub").agg(F.count("*").alias("size")).filter("size > 1")
+    groups = F.ceil(F.col("size") / block).cast("int")
+    placed = near.join(size, ["graph_id", "hub"]).withColumn("groups", groups).withColumn("g", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda j: F.struct(F.least("g", j).alias("x"), F.greatest("g", j).alias("y")))
+    placed = placed.select("graph_id", "hub", "node", "g", F.explode(cells).alias("_c")).select("graph_id", "hub", F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), "g", "node")
+    keys = ["graph_id", "hub", "x", "y"]
+    met = placed.select(*keys, F.col("g").alias("ga"), F.col("node").alias("a")).join(placed.select(*keys, F.col("g").alias("gb"), F.col("node").alias("b")), keys)
+    return met.filter("a < b and (x = y or ga <> gb)").select("graph_id", "a", "b").distinct()
 
 
 def neighbour_jaccard(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -216,3 +253,13 @@ def percolate_cliques(edges: DataFrame) -> DataFrame:
     nodes = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     single = nodes.join(used.union(pairs.select("graph_id", "node")), ["graph_id", "node"], "left_anti")
     return triads.unionByName(pairs).unionByName(single.select("graph_id", "node", F.concat(F.lit("1:"), "node").alias("comm"), F.lit(1).alias("kind")))
+
+
+def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``(graph_id, modularity)`` of a partition ``(graph_id, node, comm)``, by weight."""
+    whole = edges.groupBy("graph_id").agg(F.sum("weight").alias("m"))
+    inner = induced(edges, members).groupBy("graph_id", "comm").agg(F.sum("weight").alias("inside"))
+    ends = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node"), "weight").join(members.select("graph_id", "node", "comm"), ["graph_id", "node"]).groupBy("graph_id", "comm").agg(F.sum("weight").alias("ends"))
+    share = F.col("ends") / (2 * F.col("m"))
+    parts = ends.join(inner, ["graph_id", "comm"], "left").join(whole, "graph_id").withColumn("q", F.coalesce("inside", F.lit(0.0)) / F.col("m") - share * share)
+    return parts.groupBy("graph_id").agg(F.sum("q").alias("modularity"))

@@ -33,3 +33,40 @@ def subgraph_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     for end in ("src", "dst"):
         edges = edges.join(nodes.select(F.col("id").alias(end)).distinct(), end, "left_semi")
     return edges
+
+
+#: Codes of nodes without an event of their own in the coloured graph.
+MIX_CODE, OTHER_CODE = 7, 8
+
+
+def coloured_nodes(nodes: DataFrame, codes: DataFrame) -> DataFrame:
+    """``(id, group, score, code, size)``: evolution nodes with their event's code, 7 for a mix, 8 for a community without event."""
+    named = codes.select(F.format_string("comm%d-%d", F.col("comm").cast("bigint"), "period").alias("id"), F.col("code"))
+    code = F.when(F.col("id").startswith("mix"), MIX_CODE).otherwise(F.coalesce("code", F.lit(OTHER_CODE)))
+    return node_size(nodes.join(named, "id", "left")).select("id", "group", "score", code.alias("code"), "size")
+
+
+def coloured_edges(edges: DataFrame, coloured: DataFrame) -> DataFrame:
+    """``(src, dst, weight, code)``: evolution edges with the code of their community's end."""
+    codes = coloured.select("id", "code")
+    end = F.when(F.col("src").startswith("mix"), F.col("dst")).otherwise(F.col("src"))
+    return edges.withColumn("id", end).join(codes, "id").select("src", "dst", "weight", "code")
+
+
+def lists_by(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, n, values)``: rows of each key and the sorted list of its different values."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(value)).alias("values"))
+
+
+def covered_sets(sets: DataFrame, key: str, column: str) -> DataFrame:
+    """``(key, by)``: sets that lie within another one; sets meet on their rarest member only, equal sets by the smaller key.
+
+    A set within another shares all its members with it, the rarest too.
+    """
+    rows = sets.select(key, F.array_distinct(column).alias("_v")).filter("size(_v) > 0")
+    members = rows.select(key, F.explode("_v").alias("_m"))
+    rare = members.join(members.groupBy("_m").agg(F.count("*").alias("_n")), "_m").groupBy(key).agg(F.min_by("_m", F.struct("_n", "_m")).alias("_m"))
+    inner = rows.join(rare, key)
+    outer = members.withColumnRenamed(key, "by").join(rows.select(F.col(key).alias("by"), F.col("_v").alias("_w")), "by")
+    met = inner.join(outer, "_m").filter((F.col(key) != F.col("by")) & (F.size(F.array_except("_v", "_w")) == 0))
+    return met.filter((F.size("_v") < F.size("_w")) | (F.col("by") < F.col(key))).select(key, "by")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from topicweave.functions.months import even_split, from_ordinal, ordinal, publication_month
+from topicweave.operators.groups import with_stats
 from topicweave.plans.stage import stage
 
 
@@ -40,16 +41,15 @@ def bucket_months(series: DataFrame, size: int) -> DataFrame:
 
 def standardise(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Population z-score within each group; null where the values don't vary."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    sd = F.stddev_pop(value).over(w)
-    return df.withColumn(out, F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / sd))
+    told = with_stats(df, by or [], _mean=F.avg(value), _sd=F.stddev_pop(value))
+    return told.withColumn(out, F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mean")) / F.col("_sd"))).drop("_mean", "_sd")
 
 
 def min_max(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Values scaled to 0..1 within each group; unchanged where they don't vary."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(out, F.when(low == high, F.col(value).cast("double")).otherwise((F.col(value) - low) / (high - low)))
+    low, high = F.col("_low"), F.col("_high")
+    told = with_stats(df, by or [], _low=F.min(value), _high=F.max(value))
+    return told.withColumn(out, F.when(low == high, F.col(value).cast("double")).otherwise((F.col(value) - low) / (high - low))).drop("_low", "_high")
 
 
 def issue_gaps(papers: DataFrame) -> DataFrame:
@@ -136,8 +136,21 @@ def segment_breaks(series: DataFrame, limit: int = 3, least: float = 10.0, by: l
     return rows.groupBy(*(by or ["_one"])).applyInPandas(one, ", ".join([*(f"{c} {kinds[c]}" for c in by), "pos int"]))
 
 
-def time_line(series: DataFrame, limit: int = 3, least: float = 10.0, head: int = 12, tail: int = 6) -> DataFrame:
-    """``(period, lo, hi)``: half-open periods of months between the breaks of a trimmed monthly series."""
+def without_january(series: DataFrame, month: str = "month") -> DataFrame:
+    """The series less its Januaries, into which journals without a month put their papers."""
+    return series.filter(F.col(month) % 100 != 1)
+
+
+def time_line(series: DataFrame, limit: int = 3, least: float = 10.0, head: int = 12, tail: int = 6, remove_big: bool = False, combine: int = 0) -> DataFrame:
+    """``(period, lo, hi)``: half-open periods of months between the breaks of a trimmed monthly series.
+
+    ``remove_big`` leaves the Januaries out; ``combine`` adds up so many consecutive months, two or more, into one point
+    named by its first month.
+    """
+    if remove_big:
+        series = without_january(series)
+    if combine > 1:
+        series = bucket_months(series, combine).select(F.col("first_month").alias("month"), "n")
     numbered = stage(series.withColumn("at", (F.row_number().over(Window.orderBy("month")) - 1).cast("int")))
     total = numbered.count()
     inner = numbered.filter((F.col("at") >= head) & (F.col("at") < total - tail)).select((F.col("at") - head).cast("int").alias("pos"), "n")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topicweave.functions import months as M
 from topicweave.functions import text as X
-from topicweave.operators import corpus, dictionaries, embeddings, graphs, kernels, lineage, periods, reports, series
+from topicweave.operators import corpus, dictionaries, embeddings, graphs, lineage, periods, reports, series
 from topicweave.operators.packed import explode_packed, record_terms
 from topicweave.plans import pipeline
 from topicweave.plans.packed_sql import packed_sql
@@ -34,13 +34,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
+def _all() -> None:
+    """The modules that add their queries to those of this one."""
+    from topicweave.plans import graph_queries, table_queries  # noqa: F401
+
+
 # ---- shared parts ----------------------------------------------------------------
 
 TERMS = r"""
@@ -233,17 +240,6 @@ def chord_distance_topk(spark, folder):
     return series.chord_distances(numbered).filter("rank <= 5").select("pos", "n", F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 
-@query()
-def segment_breaks(spark, folder):
-    numbered = _monthly(spark, folder).withColumn("pos", F.expr("cast(row_number() over (order by month) - 1 as int)"))
-    return series.segment_breaks(numbered.select("pos", "n"), limit=3, least=10.0)
-
-
-@query()
-def time_line(spark, folder):
-    return series.time_line(_monthly(spark, folder), limit=5)
-
-
 @query(f"WITH {CLEAN} SELECT paper_id, month, period FROM clean JOIN period_bounds ON month >= lo AND month < hi")
 def period_half_open(spark, folder):
     return periods.in_period(_clean(spark, folder).select("paper_id", "month"), "month", table(spark, folder, "period_bounds")).select("paper_id", "month", "period")
@@ -333,20 +329,6 @@ def skipgram_pairs_w3(spark, folder):
     return corpus.skip_grams(_tokens(spark, folder), ["paper_id", "sent"], 3)
 
 
-@query()
-def phrase_merge(spark, folder):
-    words = table(spark, folder, "paper_word").select("paper_id", "keyword_plus", "article_title", "abstract").distinct()
-    terms = record_terms(words, "paper_id", "keyword_plus").select("paper_id", F.transform(F.array_distinct("terms"), lambda t: F.replace(t, F.lit(" "), F.lit("_"))).alias("phrases"))
-    texts = words.select("paper_id", F.concat_ws(" ", "article_title", "abstract").alias("text")).join(terms, "paper_id")
-    plain = F.filter("phrases", lambda p: p.rlike("^[a-z_]+$"))
-    return texts.select("paper_id", X.merge_phrases(F.lower("text"), plain).alias("text"))
-
-
-@query()
-def top_phrases(spark, folder):
-    return corpus.ranked_phrases(table(spark, folder, "paper_word").select("paper_id", "title_abstract").distinct(), "paper_id", "title_abstract", 3)
-
-
 # ---- dictionaries ------------------------------------------------------------------------
 
 
@@ -448,9 +430,7 @@ NEAR = f"""{COMM_GRAPH}, nb AS (SELECT graph_id, src AS node, dst AS other FROM
 @query(f"WITH {NEAR} SELECT pr.graph_id, pr.a, pr.b, round(coalesce(k, 0) / (x.n + y.n - coalesce(k, 0)) / CASE WHEN adj THEN 1 ELSE 2 END, 6) AS similarity FROM pr JOIN sz x ON x.graph_id = pr.graph_id AND x.node = pr.a JOIN sz y ON y.graph_id = pr.graph_id AND y.node = pr.b LEFT JOIN sh ON sh.graph_id = pr.graph_id AND sh.a = pr.a AND sh.b = pr.b")
 def neighbour_jaccard_hops(spark, folder):
     edges = _community_graph(spark, folder)
-    near = graphs.symmetric(edges).select("graph_id", "node", "other")
-    two = near.withColumnRenamed("node", "a").join(near.withColumnRenamed("node", "b"), ["graph_id", "other"]).filter("a < b").select("graph_id", "a", "b")
-    pairs = edges.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")).union(two).distinct()
+    pairs = edges.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")).union(graphs.two_step_pairs(edges)).distinct()
     return graphs.neighbour_jaccard(edges, pairs).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -465,71 +445,6 @@ def histogram_bins(spark, folder):
     return graphs.histogram(graphs.degrees(_community_graph(spark, folder)), "centrality", 0.0, 1.0, 1000)
 
 
-@query()
-def kcore(spark, folder):
-    return graphs.k_core(_community_graph(spark, folder))
-
-
-def _metrics(edges: DataFrame) -> DataFrame:
-    sizes = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).groupBy("graph_id").agg(F.count_distinct("node").alias("total"))
-    own = kernels.run_kernel(edges, lambda names, g: list(zip(names, map(float, kernels.betweenness(g)), map(float, kernels.closeness(g, len(g))), [len(g)] * len(g))), "node string, betweenness double, closeness double, size int")
-    eigen = kernels.run_kernel(edges, lambda names, g: list(zip(names, map(float, kernels.eigenvector(g)))), "node string, eigenvector double", by_component=False)
-    degree = graphs.degrees(edges).select("graph_id", "node", F.col("centrality").alias("degree"))
-    n, k = F.col("total"), F.col("size")
-    joined = degree.join(own, ["graph_id", "node"]).join(eigen, ["graph_id", "node"]).join(sizes, "graph_id")
-    # closeness of the component, scaled to the whole graph; betweenness as a share of all pairs
-    close = F.when(k > 1, F.col("closeness") * (k - 1) / (n - 1)).otherwise(0.0)
-    out = joined.select("graph_id", "node", "degree", F.when(n > 2, F.col("betweenness") * 2 / ((n - 1) * (n - 2))).otherwise(0.0).alias("betweenness"), close.alias("closeness"), "eigenvector")
-    return out.withColumn("centrality", F.col("degree") + F.col("closeness") + F.col("eigenvector"))
-
-
-@query()
-def combined_centrality(spark, folder):
-    return _metrics(_community_graph(spark, folder))
-
-
-@query()
-def metric_cosine_matrix(spark, folder):
-    m = _metrics(_community_graph(spark, folder))
-    return graphs.metric_cosines(m, ["degree", "betweenness", "closeness", "eigenvector", "centrality"]).withColumn("similarity", F.round("similarity", 2))
-
-
-@query()
-def articulation(spark, folder):
-    return kernels.run_kernel(_community_graph(spark, folder), lambda names, g: [(names[v],) for v in sorted(kernels._search(g)[4])], "node string")
-
-
-@query()
-def bridges(spark, folder):
-    return kernels.run_kernel(_community_graph(spark, folder), lambda names, g: [(names[a], names[b]) for a, b in sorted(kernels._search(g)[5])], "src string, dst string")
-
-
-def _communities(name: str) -> None:
-    def run(spark, folder):
-        return kernels.communities(_community_graph(spark, folder), name)
-
-    _QUERIES[name if name in ("louvain", "cnm", "fluid", "slpa", "bigclam", "gn") else f"components_{name}"] = run
-
-
-for _name in ("bicomponents", "two_edge", "three_edge", "louvain", "cnm", "gn", "fluid", "slpa", "bigclam"):
-    _communities(_name)
-
-
-@query()
-def lpa(spark, folder):
-    return graphs.propagate_labels(_community_graph(spark, folder))
-
-
-@query()
-def k_clique(spark, folder):
-    return graphs.percolate_cliques(_community_graph(spark, folder))
-
-
-@query()
-def two_connect_louvain(spark, folder):
-    return kernels.run_kernel(_community_graph(spark, folder), kernels.contracted_louvain, "node string, comm string")
-
-
 def _word_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, folder, "paper_word"), table(spark, folder, "period_bounds")
 
@@ -540,34 +455,6 @@ def keyword_contraction(spark, folder):
     return graphs.union_graphs(pipeline.keyword_edges(*pipeline.phrase_tokens(table(spark, folder, "paper_word"))))
 
 
-@query()
-def weighted_path_best(spark, folder):
-    """Best paths from the first node of each component to all others, with their score."""
-
-    def paths(names, g):
-        return [(names[0], names[t], len(path) - 1, round(1 / d, 6)) for t, (d, _, path) in sorted(kernels.best_paths(g, 0, set()).items()) if t]
-
-    return kernels.run_kernel(_community_graph(spark, folder), paths, "src string, dst string, steps int, score double")
-
-
-@query()
-def connectivity_levels(spark, folder):
-    """Of every node its 1-, 2- and 3-edge-connected component."""
-
-    def levels(names, g):
-        two, three = ({v: names[p[0]] for p in parts for v in p} for parts in (kernels.two_edge(g), kernels.three_edge(g)))
-        return [(names[v], names[0], two[v], three[v]) for v in range(len(g))]
-
-    return kernels.run_kernel(_community_graph(spark, folder), levels, "node string, one string, two string, three string")
-
-
-@query()
-def eliminate_nodes(spark, folder):
-    """Components that are left without the cut nodes."""
-    edges = _community_graph(spark, folder)
-    return graphs.components(graphs.without_nodes(edges, articulation(spark, folder)))
-
-
 @query()
 def pipeline_graph(spark, folder):
     return pipeline.period_graphs(*_word_inputs(spark, folder), model="jaccard")
@@ -600,11 +487,6 @@ def word2vec_neighbours(spark, folder):
     return embeddings.nearest(vectors, embeddings.cosine_edges(vectors, "word", "vector", 0.3), 5)
 
 
-@query()
-def node2vec_walks(spark, folder):
-    return embeddings.walks(_community_graph(spark, folder), length=20, per_node=50)
-
-
 @query()
 def similar_phrases(spark, folder):
     """Two-word phrases of each paper that are closest to its keywords by word vectors."""
@@ -622,11 +504,6 @@ def negative_sampling(spark, folder):
     return corpus.negative_weights(counts).withColumn("weight", F.round("weight", 6))
 
 
-@query()
-def sampled_lengths(spark, folder):
-    return corpus.sentence_lengths(_tokens(spark, folder))
-
-
 # ---- lineage --------------------------------------------------------------------------------
 
 
@@ -677,19 +554,6 @@ def community_relevance(spark, folder):
     return lineage.pair_relevance(table(spark, folder, "community")).withColumn("relevance", F.round("relevance", 6))
 
 
-@query()
-def word_link_best(spark, folder):
-    """Words of neighbouring communities linked by their shared neighbours in the graph of all periods."""
-    members = table(spark, folder, "community").select("period", "comm", "word").distinct()
-    edges = stage(graphs.union_graphs(_community_graph(spark, folder)).withColumn("graph_id", F.lit(0)).select("graph_id", "src", "dst", "weight"))
-    mixes = graphs.components(_community_graph(spark, folder)).select(F.col("graph_id").alias("mix_period"), F.col("comp").alias("mix"), F.col("node").alias("word"))
-    near = graphs.symmetric(edges).select("graph_id", "node", "other")
-    two = near.withColumnRenamed("node", "a").join(near.withColumnRenamed("node", "b"), ["graph_id", "other"]).select("graph_id", "a", "b")
-    pairs = near.select("graph_id", F.col("node").alias("a"), F.col("other").alias("b")).union(two).distinct()
-    similar = graphs.neighbour_jaccard(edges, pairs).select("a", "b", "similarity")
-    return lineage.best_word_links(lineage.link_by_overlap(members, mixes), members, similar)
-
-
 # ---- files and streams ----------------------------------------------------------------------
 
 
@@ -719,19 +583,3 @@ def csv_round_trip(spark, folder):
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_events(spark, folder):
     return streams.windowed_counts(table(spark, folder, "events"), "ts", "event_type").select("start", "event_type", "n")
-
-
-@query()
-def streamed_events(spark, folder):
-    """The same counts from a stream of the table's files; the windows that the watermark has closed."""
-    source = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    copy, base = scratch(spark), scratch(spark)
-    source.write.parquet(copy)
-    stream = spark.readStream.schema(source.schema).parquet(copy)
-    streams.write_available(streams.windowed_counts(stream, "ts", "event_type"), f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.schema("start timestamp, end timestamp, event_type string, n bigint").parquet(f"{base}/out")
-
-
-@query()
-def user_sessions(spark, folder):
-    return streams.sessions(table(spark, folder, "events"), "ts", "user_id")

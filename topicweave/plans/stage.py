@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LEFT: dict[str, list[str]] = {}
+_LOCK, _OPEN = threading.Lock(), []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only if it is unset."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only if it is unset and Spark runs on this machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='topicweave-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -35,6 +42,23 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with their query; tables may be staged from several threads."""
+    with _LOCK:
+        if not _OPEN:
+            _OPEN.append(spark.conf.get(_CLEANUP, "false"))
+            spark.conf.set(_CLEANUP, "true")
+        _OPEN.append("")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _OPEN.pop()
+            if len(_OPEN) == 1:
+                spark.conf.set(_CLEANUP, _OPEN.pop())
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -43,12 +67,8 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # the table is written: the shuffle files behind it can go at once
-    try:
+    with _cleaned(spark):  # the table is written: the shuffle files behind it can go at once
         df.write.option("compression", "snappy").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._staged_at = path
     return table

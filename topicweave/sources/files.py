@@ -7,19 +7,26 @@ from xml.etree import ElementTree as ET
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 PAPER = T.StructType([T.StructField(c, T.StringType()) for c in ("Authors", "Author Full Names", "Article Title", "Author Keywords", "Keywords Plus", "Abstract")] + [T.StructField("Publication Year", T.IntegerType())] + [T.StructField(c, T.StringType()) for c in ("Publication Date", "Source Title", "DOI")])
 
 
-def read_papers(spark: SparkSession, *paths: str) -> DataFrame:
-    """Papers of several CSV files with a header; missing columns are null, blank lines are skipped."""
+def read_papers(spark: SparkSession, *paths: str, index: bool = False) -> DataFrame:
+    """Papers of several CSV files with a header; missing columns are null, blank lines are skipped, and so is a leading number with ``index``."""
     out = None
     for path in paths:
-        part = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).schema(PAPER).csv(path)
+        schema = T.StructType([T.StructField("index", T.LongType()), *PAPER.fields]) if index else PAPER
+        part = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).schema(schema).csv(path).select(*(f"`{c}`" for c in PAPER.fieldNames()))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+def read_bare_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV file without header; empty cells are null."""
+    return spark.read.option("escape", '"').schema(schema).csv(path)
+
+
 def read_excel(spark: SparkSession, *paths: str) -> DataFrame:
     """Papers of spreadsheets; needs a pandas Excel engine on the driver, as Spark has no such source."""
     import pandas as pd
@@ -65,9 +72,17 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_three_line(spark: SparkSession, path: str) -> DataFrame:
-    """``(line, value)`` of a text file read as a whole, lines numbered from 0."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line", "value"))
+    """``(file, line, value)`` of text files, lines numbered from 0 in each.
+
+    A file is read in splits: their lines are counted first, and a line's number is its place in its split
+    after all lines of the splits before.  Blank lines count.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at"), "value")
+    # rows of one split come in order, and their numbers rise with it
+    first = lines.groupBy("file", "block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = first.withColumn("_before", F.coalesce(upto, F.lit(0)))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("_at") - F.col("_first") + F.col("_before")).alias("line"), "value")
 
 
 _KINDS = {"string": "string", "double": "double", "float": "float", "bigint": "long", "int": "int", "boolean": "boolean"}
@@ -92,7 +107,17 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, id: str = "id",
             for c in df.columns:
                 if (kind, c) in keys and row[c] is not None:
                     ET.SubElement(e, "data", key=keys[kind, c]).text = str(row[c])
-    ET.ElementTree(root).write(path, encoding="utf-8", xml_declaration=True)
+    _put(nodes.sparkSession, path, root)
+
+
+def _put(spark: SparkSession, path: str, root: ET.Element) -> None:
+    """Writes a document by the file system of its path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(ET.tostring(root, encoding="utf-8", xml_declaration=True)))
+    finally:
+        out.close()
 
 
 def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, id: str = "id", src: str = "src", dst: str = "dst", most: int = 1_000_000) -> None:
@@ -115,7 +140,7 @@ def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, id: str = "id", sr
     holder = ET.SubElement(graph, "edges")
     for i, row in enumerate(edges.orderBy(src, dst).toLocalIterator()):
         ET.SubElement(holder, "edge", id=str(i), source=str(row[src]), target=str(row[dst]), weight=str(row["weight"] if "weight" in edges.columns else 1))
-    ET.ElementTree(root).write(path, encoding="utf-8", xml_declaration=True)
+    _put(nodes.sparkSession, path, root)
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -26,3 +26,9 @@ def first_seen(events: DataFrame, keys: list[str], time: str, late: str = "2 day
 def write_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Runs a stream over what is there, appends the finished windows to Parquet, and ends."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def closing_row(events: DataFrame, time: str, after: str = "interval 10 years") -> DataFrame:
+    """One row long after the last event, all else null: it moves the watermark beyond every window that holds events."""
+    last = events.agg((F.max(time) + F.expr(after)).alias(time))
+    return last.select(*(F.col(c) if c == time else F.lit(None).cast(t).alias(c) for c, t in events.dtypes))
