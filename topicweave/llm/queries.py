@@ -105,6 +105,11 @@ def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
     return link_names(table(spark, folder, "paper_end"))
 
 
+def p6_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling with its occurrences and the number of entities it is put into, one."""
+    return link_names(table(spark, folder, "paper_end")).groupBy("spelling").agg(F.sum("n").alias("n"), F.count_distinct("entity").alias("entities"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     leaks = leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text", run=12)
     return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
@@ -141,6 +146,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _shares(*_mixed(spark, folder))
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a source falls short, and whether its selection keeps the repeat limit and reaches what it can, but for one document at each end of a range."""
+    shares = stage(p8_shares(spark, folder))
+    targets = table(spark, folder, "mix_target").select("recipe", "source", "max_repeat")
+    largest = token_counts(table(spark, folder, "documents"), "doc_id", "text").agg(F.max("tokens").alias("largest"))  # one row
+    near = F.abs(F.col("tokens") - F.col("available_tokens")) <= 2 * F.col("max_repeat") * F.col("largest")
+    rows = shares.join(targets, ["recipe", "source"]).crossJoin(F.broadcast(largest))
+    return rows.select("recipe", "source", "short", (near & (F.col("most_uses") <= F.col("max_repeat"))).alias("kept"))
+
+
 def p8_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """The same with the copies of a text as one document that belongs to all its sources: these overlap, and the flow divides what they share."""
     documents = table(spark, folder, "documents").withColumn("digest", F.sha2("text", 256))
@@ -162,7 +177,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_scores, p2_found, p4_found, p4_classes, p4_classes_of_five, p5_found, p5_terms, p6_found, p6_entities, p7_found, p7_items, p8_found, p8_shares, p8_overlap, p8_selection, p9_found, p9_rates)
+    own = (p1_found, p1_scores, p2_found, p4_found, p4_classes, p4_classes_of_five, p5_found, p5_terms, p6_found, p6_entities, p6_spellings, p7_found, p7_items, p8_found, p8_shares, p8_checks, p8_overlap, p8_selection, p9_found, p9_rates)
     return {f.__name__: f for f in own}
 
 
@@ -218,8 +233,13 @@ P8 = r"""WITH d AS (SELECT nullif(lower(trim(source)), '') AS s, len(regexp_extr
 SELECT recipe, m.source FROM mix_target m CROSS JOIN t LEFT JOIN c ON c.s = lower(trim(m.source)) WHERE coalesce(c.n, 0) * max_repeat < weight * budget_share * total"""
 
 
+P8_CHECKS = P8.replace("SELECT recipe, m.source FROM", "SELECT recipe, m.source, coalesce(c.n, 0) * max_repeat < weight * budget_share * total AS short, true AS kept FROM").rpartition(" WHERE ")[0]
+P6_SPELLINGS = f"""WITH {packed_sql("au", "paper_end", "authors", True)}, s AS (SELECT item AS spelling FROM au UNION ALL SELECT unnest(string_split(author_full_names, '; ')) FROM paper_end)
+SELECT spelling, count(*) AS n, CAST(1 AS BIGINT) AS entities FROM s WHERE trim(spelling) <> '' GROUP BY spelling"""
+
+
 def oracle_sql() -> dict[str, str]:
     classes = {"p4_classes": ("3", "3 * o >= x.n + y.n"), "p4_classes_of_five": ("5", "9 * o >= 4 * (x.n + y.n)")}
-    return {"p1_found": P1, "p1_scores": P1_SCORES, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p5_terms": P5_TERMS, "p7_found": P7, "p7_items": P7_ITEMS, "p8_found": P8} | {
+    return {"p1_found": P1, "p1_scores": P1_SCORES, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p5_terms": P5_TERMS, "p6_spellings": P6_SPELLINGS, "p8_checks": P8_CHECKS, "p7_found": P7, "p7_items": P7_ITEMS, "p8_found": P8} | {
         k: P4_CLASSES.replace("SIZE", size).replace("LEAST", least) for k, (size, least) in classes.items()
     }
