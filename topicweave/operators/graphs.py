@@ -48,10 +48,11 @@ def core_words(members: DataFrame, scores: DataFrame, score: str, least: float,
     """``(graph_id, comm, node, score)``: the members that pass a threshold, or the best one where none does; ties by node."""
     joined = members.join(scores.select("graph_id", "node", F.col(score).alias("score")), ["graph_id", "node"])
     passes = F.coalesce(F.col("score") > least if strict else F.col("score") >= least, F.lit(False))
-    w = Window.partitionBy("graph_id", "comm")
-    rank = F.row_number().over(w.orderBy(F.desc_nulls_last(F.round("score", 9)), "node"))
-    marked = joined.withColumn("_ok", passes).withColumn("_rank", rank).withColumn("_any", F.max("_ok").over(w))
-    return marked.filter(F.col("_ok") | (~F.col("_any") & (F.col("_rank") == 1))).select("graph_id", "comm", "node", "score")
+    marked = joined.withColumn("_ok", passes)
+    low = -F.round("score", 9)
+    best = F.min_by("node", F.struct(low.isNull().alias("none"), low.alias("low"), "node"))
+    told = with_stats(marked, ["graph_id", "comm"], _any=F.max("_ok"), _best=best)
+    return told.filter(F.col("_ok") | (~F.col("_any") & (F.col("node") == F.col("_best")))).select("graph_id", "comm", "node", "score")
 
 
 def induced(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from topicweave.operators.graphs import components, main_core, percolate_cliques, propagate_labels
 from topicweave.operators.groups import with_stats
-from topicweave.plans.stage import stage
+from topicweave.plans.stage import spread, stage
 
 Graph = list[dict[int, float]]
 
@@ -56,7 +56,7 @@ def run_kernel(edges: DataFrame, kernel: Callable[..., list[tuple]], schema: str
         out = kernel(names, g, pdf[told].iloc[0]) if told else kernel(names, g)
         return pd.DataFrame([(pdf["graph_id"].iloc[0], *r) for r in out], columns=columns)
 
-    return rows.groupBy(*keys).applyInPandas(one, full)
+    return spread(rows, *keys).groupBy(*keys).applyInPandas(one, full)
 
 
 # ---- connectivity ------------------------------------------------------------

@@ -207,10 +207,10 @@ def component_modularity(spark, folder):
 def partition_checks(spark, folder):
     """Every algorithm puts each node into one community: nodes, those in none, those in several."""
     edges = stage(_graph(spark, folder))
-    nodes = graphs.nodes_of(edges)
+    nodes, comps = graphs.nodes_of(edges), stage(graphs.components(edges))
     out = None
     for name in PARTITIONS:
-        found = kernels.contracted_communities(edges) if name == "two_connect_louvain" else kernels.communities(edges, name)
+        found = kernels.contracted_communities(edges) if name == "two_connect_louvain" else kernels.communities(edges, name, comps)
         times = nodes.join(found.groupBy("graph_id", "node").agg(F.count("*").alias("n")), ["graph_id", "node"], "full").groupBy("graph_id")
         part = times.agg(F.count("*").alias("nodes"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("doubled")).select(F.lit(name).alias("algorithm"), "graph_id", "nodes", "missing", "doubled")
         out = part if out is None else out.unionByName(part)

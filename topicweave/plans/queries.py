@@ -470,6 +470,21 @@ def pipeline_graph_node2vec(spark, folder):
     return pipeline.period_graphs(*_word_inputs(spark, folder), model="node2vec")
 
 
+@query("SELECT 2 * period + 1 AS graph_id, true AS adds_up FROM period_bounds WHERE period < (SELECT max(period) FROM period_bounds)")
+def pipeline_checks(spark, folder):
+    """A graph of two periods in a row weighs as much as theirs together, no paper lying in both."""
+    weight = pipeline.period_graphs(*_word_inputs(spark, folder), model="jaccard").groupBy("graph_id").agg(F.sum("weight").alias("w"))
+    own = weight.filter("graph_id >= 0 and graph_id % 2 = 0").select(F.explode(F.array(F.col("graph_id") - 1, F.col("graph_id") + 1)).alias("graph_id"), "w").groupBy("graph_id").agg(F.sum("w").alias("both"))
+    return weight.filter("graph_id % 2 = 1").join(own, "graph_id").select("graph_id", (F.abs(F.col("w") - F.col("both")) < 1e-6).alias("adds_up"))
+
+
+@query(f"WITH {TOKENS} SELECT token AS word, 100 AS size FROM tok GROUP BY token HAVING count(*) >= 4")
+def word_vector_checks(spark, folder):
+    """Every word that occurs four times has a vector; one pass of training is enough to see that."""
+    sentences = table(spark, folder, "paper_word").select("paper_id", "title_abstract").distinct().select(F.explode(X.sentences(F.col("title_abstract"))).alias("words"))
+    return embeddings.word_vectors(stage(sentences), "words", size=100, least=4, steps=1).select("word", F.size("vector").alias("size"))
+
+
 @query()
 def pipeline_core_words(spark, folder):
     return pipeline.trace(*_word_inputs(spark, folder), rule="z")["core"]

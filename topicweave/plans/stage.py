@@ -74,6 +74,12 @@ def stage(df: DataFrame) -> DataFrame:
     return table
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by the keys over all cores, for work that is long for its few bytes: AQE would put small rows into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     spark, path = table.sparkSession, table._staged_at
