@@ -34,8 +34,8 @@ _LIST = 8192
 #: The sketch has at most 2 ** 25 counters of two bytes; counts from this one on are kept beside it, in full.
 _MOST_BITS = 25
 _CEILING = 65535
-#: Postings that one matching task takes.
-_TASK = 800_000
+#: Postings that one matching task takes, and those put together before they are divided by task.
+_TASK, _BUFFER = 800_000, 1_000_000
 
 
 def _token_sets(texts: pa.Array, size: int):
@@ -174,7 +174,7 @@ def _post(width: int, least: float, sketch, parts: int):
     """Prefix postings of each text, packed by destination."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, seen = sketch.value, set()
+        rarity, seen, held = sketch.value, set(), []
         for batch in batches:
             for _, n, row, h in _token_sets(batch.column(0), width):
                 starts, sizes = _bounds(row, n)
@@ -209,19 +209,27 @@ def _post(width: int, least: float, sketch, parts: int):
                 out["token"], out["text"] = token, (one[r] & U(0xFFFFFFFF)).astype(np.uint32)
                 out["size"], out["pos"] = _small(size[take], True), _small(pos[take], False)
                 out["p0"], out["p1"] = parity[0][take], parity[1][take]
-                out = _spread(out, count[take])
-                part = (mix(out["token"].astype(U)) >> U(33)).astype(np.int64) % parts
-                order = np.argsort(part, kind="stable")
-                part, out = part[order], out[order]
-                cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, int)
-                ends = np.r_[cut[1:], len(part)] if len(cut) else cut
-                blobs = [out[a:b].tobytes() for a, b in zip(cut, ends)]
-                if blobs:
-                    yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array(blobs, pa.binary())], ["part", "postings"])
+                held.append(_spread(out, count[take]))
+                if sum(map(len, held)) >= _BUFFER:
+                    yield from _by_part(np.concatenate(held), parts)
+                    held = []
+        if held:
+            yield from _by_part(np.concatenate(held), parts)
 
     return run
 
 
+def _by_part(out: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """One row for each part that has postings."""
+    part = (mix(out["token"].astype(U)) >> U(33)).astype(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    part, out = part[order], out[order]
+    if len(part):
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        blobs = [out[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(part)])]
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array(blobs, pa.binary())], ["part", "postings"])
+
+
 def _spread(out: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Postings of very long lists, once for each cell (i, j) of groups of texts that the text is in.
 
@@ -423,7 +431,8 @@ def near_duplicates(texts: DataFrame, key: str, text: str | Column, width: int =
     spark = texts.sparkSession
     column = texts[text] if isinstance(text, str) else text
     rows = texts.select(texts[key].cast("bigint").alias("doc"), F.lower(F.coalesce(column, F.lit(""))).alias("text")).filter("doc is not null")
-    bits = min(_MOST_BITS, max(16, math.ceil(math.log2(max(1, rows.count()) * 32))))
+    n = max(1, rows.count())
+    bits = min(_MOST_BITS, max(16, math.ceil(math.log2(n * 32))))
     first = stage(rows.mapInArrow(_first_pass(width, bits), _DOCS))
     docs = first.filter("doc is not null").drop("slice", "counts")
     classes = docs.filter("size > 0").groupBy("h1", "h2").agg(F.min("doc").alias("class"), *(F.first(c).alias(c) for c in ("size", "s0", "s1", "s2", "s3")))
@@ -444,7 +453,8 @@ def near_duplicates(texts: DataFrame, key: str, text: str | Column, width: int =
     postings = rows.select("text").mapInArrow(_post(width, least, held, parts), "part int, postings binary")
     # the part is the number of the partition: one part to a task
     pairs = stage(postings.repartitionById(parts, "part").mapInArrow(_match(least), "pair bigint").distinct())
-    links = _links(rows, classes, pairs, width, least, bits)
+    # candidates' identifiers are told by a bitmap of eight bits a text, 2^30 at most
+    links = _links(rows, classes, pairs, width, least, min(30, max(16, math.ceil(math.log2(n * 8)))))
     return members, links
 
 
