@@ -41,6 +41,25 @@ def test_graphml_round_trip(spark, rows, tmp_path):
     assert "comm0-1" in (tmp_path / "g.gexf").read_text()
 
 
+def test_graph_files_of_any_size_are_written_in_parts(spark, tmp_path):
+    """Over a million nodes and edges in one document, which was refused."""
+    from xml.etree import ElementTree as ET
+
+    from pyspark.sql import functions as F
+
+    nodes = spark.range(600_000).select(F.format_string("comm%d-0", "id").alias("id"), F.when(F.col("id") == 7, '<&"\n').alias("label"))
+    edges = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(2).alias("weight"))
+    path = str(tmp_path / "g.graphml")
+    files.write_graphml(nodes, edges, path)
+    n, e = files.read_graphml(spark, path)
+    assert (n.count(), n.select("id").distinct().count(), e.count(), e.filter("attributes['weight'] = '2'").count()) == (600_000,) * 4
+    assert [(r.id, r.attributes["label"]) for r in n.filter("size(attributes) > 0").collect()] == [("comm7-0", '<&"')]
+    files.write_gexf(nodes, edges, str(tmp_path / "g.gexf"))
+    root = ET.parse(tmp_path / "g.gexf").getroot()
+    found = {k: root.findall(f".//{{http://www.gexf.net/1.2draft}}{k}") for k in ("node", "edge", "attvalue")}
+    assert (len(found["node"]), len({x.get("id") for x in found["edge"]}), [x.get("value") for x in found["attvalue"]]) == (600_000, 600_000, ['<&"\n'])
+
+
 def test_paper_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Authors,Author Full Names,Article Title,Author Keywords,Keywords Plus,Abstract,Publication Year,Publication Date,Source Title,DOI\n"A, B.",,T,"k; l",,"x ""y""\nz",2010,JAN,J,d\n\n')
     got = files.read_papers(spark, str(tmp_path / "a.csv")).collect()

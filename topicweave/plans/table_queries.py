@@ -262,8 +262,8 @@ COLOURS = f"""{base.ROLES}, {base.EVENTS}, cd AS (SELECT 'comm' || comm || '-' |
 
 
 def _coloured(spark, folder) -> tuple[DataFrame, DataFrame]:
-    members, mixes, links = base._links(spark, folder)
-    links = stage(links)
+    members, mixes = map(stage, base._roles(spark, folder))
+    links = stage(lineage.link_by_overlap(members, mixes))
     lists = stage(lineage.mix_links(links, mixes))
     nodes = lineage.evolution_nodes(members.withColumn("comm", F.col("comm").cast("bigint")), links, lists)
     return reports.coloured_nodes(nodes, lineage.event_codes(lineage.lifecycle(lists))), lineage.evolution_edges(links)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from xml.etree import ElementTree as ET
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from topicweave.plans.stage import scratch
+
 PAPER = T.StructType([T.StructField(c, T.StringType()) for c in ("Authors", "Author Full Names", "Article Title", "Author Keywords", "Keywords Plus", "Abstract")] + [T.StructField("Publication Year", T.IntegerType())] + [T.StructField(c, T.StringType()) for c in ("Publication Date", "Source Title", "DOI")])
 
 
@@ -88,59 +90,84 @@ def read_three_line(spark: SparkSession, path: str) -> DataFrame:
 _KINDS = {"string": "string", "double": "double", "float": "float", "bigint": "long", "int": "int", "boolean": "boolean"}
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, id: str = "id", src: str = "src", dst: str = "dst", most: int = 1_000_000) -> None:
-    """GraphML of an evolution graph; the document is built on the driver, so its size is checked first."""
-    count = nodes.count() + edges.count()
-    if count > most:
-        raise ValueError(f"{count} nodes and edges; a GraphML document takes {most} at most")
-    root = ET.Element("graphml", xmlns="http://graphml.graphdrawing.org/xmlns")
-    keys = {}
-    for df, kind, skip in ((nodes, "node", {id}), (edges, "edge", {src, dst})):
-        for c, t in df.dtypes:
-            if c not in skip:
-                keys[kind, c] = f"d{len(keys)}"
-                ET.SubElement(root, "key", {"id": keys[kind, c], "for": kind, "attr.name": c, "attr.type": _KINDS.get(t, "string")})
-    graph = ET.SubElement(root, "graph", edgedefault="undirected")
+def _text(c: Column) -> Column:
+    """A value as the text of an XML element."""
+    for raw, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(raw), F.lit(code))
+    return c
+
+
+def _attribute(name: str, value: Column) -> Column:
+    """`` name="value"``; a null value reads None."""
+    c = _text(F.coalesce(value.cast("string"), F.lit("None")))
+    for raw, code in (('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#09;")):
+        c = F.replace(c, F.lit(raw), F.lit(code))
+    return F.concat(F.lit(f" {name}=\""), c, F.lit('"'))
+
+
+def _element(tag: str, attributes: dict[str, Column], *inner: Column) -> Column:
+    """An element with its attributes and what is in it, nulls left out."""
+    return F.concat(F.lit(f"<{tag}"), *(_attribute(n, c) for n, c in attributes.items()), F.lit(">"), F.concat_ws("", *inner), F.lit(f"</{tag}>"))
+
+
+def _names(tag: str, **attributes: str) -> str:
+    """One of the document's few elements about its columns."""
+    return ET.tostring(ET.Element(tag, {n.replace("_", "."): v for n, v in attributes.items()}), encoding="unicode")
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, id: str = "id", src: str = "src", dst: str = "dst") -> None:
+    """GraphML of an evolution graph of any size: executors write the elements, in order of their ids."""
+    keys, bodies = [], []
     for df, kind, attrs in ((nodes, "node", {"id": id}), (edges, "edge", {"source": src, "target": dst})):
-        for row in df.orderBy(*attrs.values()).toLocalIterator():
-            e = ET.SubElement(graph, kind, {a: str(row[c]) for a, c in attrs.items()})
-            for c in df.columns:
-                if (kind, c) in keys and row[c] is not None:
-                    ET.SubElement(e, "data", key=keys[kind, c]).text = str(row[c])
-    _put(nodes.sparkSession, path, root)
-
-
-def _put(spark: SparkSession, path: str, root: ET.Element) -> None:
-    """Writes a document by the file system of its path."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+        inner = []
+        for c, t in df.dtypes:
+            if c not in attrs.values():
+                inner.append(F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f'<data key="d{len(keys)}">'), _text(F.col(f"`{c}`").cast("string")), F.lit("</data>"))))
+                keys.append(_names("key", id=f"d{len(keys)}", **{"for": kind, "attr_name": c, "attr_type": _KINDS.get(t, "string")}))
+        bodies.append(df.orderBy(*attrs.values()).select(_element(kind, {a: F.col(c) for a, c in attrs.items()}, *inner).alias("value")))
+    head = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + "".join(keys) + '<graph edgedefault="undirected">\n'
+    _put(nodes.sparkSession, path, head, *bodies, "</graph></graphml>")
+
+
+def _put(spark: SparkSession, path: str, *pieces: str | DataFrame) -> None:
+    """Writes a document of texts and tables of one text column, by the file system of its path; tables are written in parts first and never come to the driver's Python."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(conf).create(p, True)
     try:
-        out.write(bytearray(ET.tostring(root, encoding="utf-8", xml_declaration=True)))
+        out.write(bytearray(b'<?xml version="1.0" encoding="utf-8"?>\n'))
+        for piece in pieces:
+            if isinstance(piece, str):
+                out.write(bytearray(piece.encode()))
+                continue
+            folder = scratch(spark)
+            piece.write.option("compression", "none").text(folder)
+            parts = jvm.org.apache.hadoop.fs.Path(folder)
+            fs = parts.getFileSystem(conf)
+            for name in sorted(f.getPath().getName() for f in fs.listStatus(parts)):
+                if name.startswith("part-"):
+                    part = fs.open(jvm.org.apache.hadoop.fs.Path(parts, name))
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                    finally:
+                        part.close()
+            fs.delete(parts, True)
     finally:
         out.close()
 
 
-def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, id: str = "id", src: str = "src", dst: str = "dst", most: int = 1_000_000) -> None:
-    """GEXF of an evolution graph; built on the driver, its size checked first."""
-    count = nodes.count() + edges.count()
-    if count > most:
-        raise ValueError(f"{count} nodes and edges; a GEXF document takes {most} at most")
-    root = ET.Element("gexf", xmlns="http://www.gexf.net/1.2draft", version="1.2")
-    graph = ET.SubElement(root, "graph", defaultedgetype="undirected", mode="static")
-    attributes = ET.SubElement(graph, "attributes", {"class": "node"})
+def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, id: str = "id", src: str = "src", dst: str = "dst") -> None:
+    """GEXF of an evolution graph of any size, written like :func:`write_graphml`; edges are numbered in order, with gaps between parts."""
     names = [c for c in nodes.columns if c != id]
-    for i, c in enumerate(names):
-        ET.SubElement(attributes, "attribute", id=str(i), title=c, type=_KINDS.get(dict(nodes.dtypes)[c], "string"))
-    holder = ET.SubElement(graph, "nodes")
-    for row in nodes.orderBy(id).toLocalIterator():
-        values = ET.SubElement(ET.SubElement(holder, "node", id=str(row[id]), label=str(row["label"] if "label" in names else row[id])), "attvalues")
-        for i, c in enumerate(names):
-            if row[c] is not None:
-                ET.SubElement(values, "attvalue", {"for": str(i), "value": str(row[c])})
-    holder = ET.SubElement(graph, "edges")
-    for i, row in enumerate(edges.orderBy(src, dst).toLocalIterator()):
-        ET.SubElement(holder, "edge", id=str(i), source=str(row[src]), target=str(row[dst]), weight=str(row["weight"] if "weight" in edges.columns else 1))
-    _put(nodes.sparkSession, path, root)
+    types = dict(nodes.dtypes)
+    attributes = "".join(_names("attribute", id=str(i), title=c, type=_KINDS.get(types[c], "string")) for i, c in enumerate(names))
+    values = [F.when(F.col(f"`{c}`").isNotNull(), _element("attvalue", {"for": F.lit(i), "value": F.col(f"`{c}`")})) for i, c in enumerate(names)]
+    label = F.col("label" if "label" in names else id)
+    body = nodes.orderBy(id).select(_element("node", {"id": F.col(id), "label": label}, F.lit("<attvalues>"), *values, F.lit("</attvalues>")).alias("value"))
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1)
+    links = edges.orderBy(src, dst).withColumn("_n", F.monotonically_increasing_id()).select(_element("edge", {"id": F.col("_n"), "source": F.col(src), "target": F.col(dst), "weight": weight}).alias("value"))
+    head = f'<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph defaultedgetype="undirected" mode="static"><attributes class="node">{attributes}</attributes><nodes>\n'
+    _put(nodes.sparkSession, path, head, body, "</nodes><edges>\n", links, "</edges></graph></gexf>")
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
