@@ -240,3 +240,17 @@ def test_bigclam_has_a_column_for_every_node():
     parts = kernels.parts_of("bigclam")(adjacency(3 * k, edges))
     assert {v for p in parts for v in p} == set(range(3 * k))
     assert len(set(map(tuple, parts))) > 24
+
+
+def test_phrases_are_scored_with_the_vectors_at_hand_as_by_joins(spark, rows):
+    from pyspark.sql import functions as F
+
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0]), ("zero", [0.0, 0.0])], "word string, vector array<double>")
+    phrases = spark.createDataFrame([(1, "a_b"), (1, "a_b"), (1, "a_a"), (1, "b_c"), (1, "c_none"), (1, "none"), (1, "zero_zero"), (2, "a_b"), (3, "a_b"), (3, "c_c"), (3, "a_c"), (4, "zero")], "paper_id long, phrase string")
+    keywords = spark.createDataFrame([(1, "a"), (1, "a"), (1, "none"), (2, "none"), (3, "a"), (3, "b"), (4, "a")], "paper_id long, word string")
+    plain = lambda df: rows(df.select("paper_id", "phrase", F.round("similarity", 9).alias("s")))
+    every = embeddings._joined_phrases(phrases, keywords, vectors, "paper_id", 9)
+    assert plain(embeddings._sent_phrases(phrases, keywords, vectors, "paper_id", 9)) == plain(every) and every.count() == 9
+    got = embeddings.closest_phrases(phrases, keywords, vectors, "paper_id", 2).select("paper_id", "rank", "phrase")
+    assert rows(got) == [(1, 1, "a_a"), (1, 2, "a_b"), (3, 1, "a_c"), (3, 2, "a_b"), (4, 1, "zero")]
+    assert embeddings.closest_phrases(phrases, keywords, vectors.limit(0), "paper_id", 2).count() == 0
