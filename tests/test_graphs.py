@@ -254,3 +254,16 @@ def test_phrases_are_scored_with_the_vectors_at_hand_as_by_joins(spark, rows):
     got = embeddings.closest_phrases(phrases, keywords, vectors, "paper_id", 2).select("paper_id", "rank", "phrase")
     assert rows(got) == [(1, 1, "a_a"), (1, 2, "a_b"), (3, 1, "a_c"), (3, 2, "a_b"), (4, 1, "zero")]
     assert embeddings.closest_phrases(phrases, keywords, vectors.limit(0), "paper_id", 2).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_nearest_words_need_few_of_the_pairs(spark, rows, block):
+    from pyspark.sql import functions as F
+
+    draw = np.random.default_rng(3)
+    values = [(f"w{k}", [float(x) for x in draw.integers(-1, 2, 4)]) for k in range(60)]  # many ties, some without length
+    vectors = spark.createDataFrame(values, "word string, vector array<double>")
+    every, few = embeddings.cosine_edges(vectors, "word", "vector", -0.5, block), embeddings.cosine_edges(vectors, "word", "vector", -0.5, block, most=3)
+    plain = lambda edges: rows(embeddings.nearest(vectors, edges, 3).select("word", "other", "rank", F.round("weight", 9)))
+    assert plain(few) == plain(every)
+    assert few.count() < every.count()
