@@ -1,5 +1,9 @@
+from pathlib import Path
+
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from topicweave.operators.embeddings import graph_vectors
 from topicweave.plans import pipeline
 from topicweave.plans.stage import materialise, shared_folder, stage
 
@@ -65,6 +69,41 @@ def test_word2vec_fits_each_graph_on_its_own_texts(spark, monkeypatch):
     assert {e[1:] for e in edges if e[0] == 0} == {("one", "two")} and {e[1:] for e in edges if e[0] == 2} == {("four", "three")}
 
 
+def test_word2vec_models_get_whole_sentences_that_lie_together(spark, monkeypatch):
+    seen = []
+
+    def vectors(sentences, column, **how):
+        seen.append(sentences)
+        return spark.createDataFrame([], "graph_id int, word string, vector array<double>")
+
+    monkeypatch.setattr(pipeline.embeddings, "graph_vectors", vectors)
+    text = lambda k: f"a{k};b{k};#;c{k};d{k}"
+    rows = [(k, "a1;b1", text(k), 201001 + k % 2) for k in range(8)]
+    words = spark.createDataFrame([*rows, (9, "q", None, 201001)], WORD)
+    bounds = spark.createDataFrame([(0, 201001, 201002), (1, 201002, 201003)], "period int, lo int, hi int")
+    pipeline.period_graphs(words, bounds, "word2vec").collect()
+    found = {}
+    for r in seen[0].collect():
+        found.setdefault(r.graph_id, []).append(tuple(r.words))
+    of = lambda ks: [pair for k in ks for pair in ((f"a{k}", f"b{k}"), (f"c{k}", f"d{k}"))]
+    even, odd = of(range(0, 8, 2)), of(range(1, 8, 2))
+    assert {g: sorted(x) for g, x in found.items()} == {-1: sorted(even + odd), 0: sorted(even), 1: sorted(even + odd), 2: sorted(odd)}
+    for file in Path(seen[0]._staged_at.removeprefix("file://")).glob("*.parquet"):
+        ids = pq.read_table(file, columns=["graph_id"])["graph_id"].to_pylist()
+        assert ids == sorted(ids)
+
+
+def test_graphs_without_frequent_words_cost_no_jobs(spark):
+    def jobs(graphs):
+        texts = stage(spark.createDataFrame([(g, [f"w{g}", "x"]) for g in range(graphs)], "graph_id int, words array<string>"))
+        last = lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000) or max(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+        begun = last()
+        assert graph_vectors(texts, "words", least=2).isEmpty()
+        return last() - begun
+
+    assert jobs(2) == jobs(12)
+
+
 def test_materialise_builds_once(spark):
     path, calls = f"{shared_folder(spark)}/once", []
 
